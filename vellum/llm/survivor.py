@@ -52,12 +52,12 @@ def abstract_claims(rows: DataFrame, scratch: Scratch) -> DataFrame:
     texts = rows.select(F.lit("recs").alias("tab"), F.col("rec_id").cast("string").alias("row_key"), truncation.catalogue(F.col("source_api")).alias("source"), F.col("abstract").alias("text"))
     cut = truncation.cut(texts).select(F.col("row_key").cast("bigint").alias("rec_id"), F.lit(True).alias("is_cut"))
     words = F.regexp_count("abstract", F.lit("[\\p{L}\\p{N}]+"))
-    letters = rows.filter(F.col("abstract").isNotNull() & (words >= WORDS)).withColumn("p", plain(F.col("abstract"))).filter("p <> ''")
+    letters = rows.filter(F.col("abstract").isNotNull() & (words >= WORDS)).withColumn("p", plain(F.col("abstract")))
     claims = letters.join(cut, "rec_id", "left").select(
         "group_id", "rec_id", "source_api", F.when(F.col("is_cut"), "cut").otherwise("whole").alias("kind"),
         F.unhex(F.md5("p")).alias("value"), F.length("p").alias("size"), F.xxhash64(F.substring("p", 1, HEAD)).alias("head"),
     )
-    claims = scratch.keep(claims)
+    claims = scratch.keep(claims).filter("size > 0")
     per_group = claims.filter("kind = 'whole'").groupBy("value", "group_id").agg(F.count(F.lit(1)).alias("_n"))
     notices = scratch.keep(per_group.groupBy("value").agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("n")).filter(F.col("groups") > MANY))
     return salted_lookup(claims, notices, ["value"], "rec_id", "left_anti", counted="n")

@@ -23,6 +23,8 @@ ENCODINGS = ("characters", "utf8", "utf16", "markup", "json", "crlf")
 #: and MOSTLY of its texts do.
 LEAST, TIMES, AROUND, MOSTLY = 6, 5.0, 15, 0.8
 
+#: Unicode white space.
+_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
 _CLOSE = "[\\s\\p{IsWhite_Space}\"”“»›’'`*_]*"
 
 
@@ -33,28 +35,33 @@ def _count(text: Column, chars: str) -> Column:
 
 def lengths(text: Column) -> dict[str, Column]:
     """The length under each encoding."""
-    chars = F.length(text)
-    astral = chars - F.length(F.regexp_replace(text, "[\\x{10000}-\\x{10FFFF}]", ""))
+    chars, size = F.length(text), F.octet_length(text)
+    astral = F.when(size == chars, 0).otherwise(chars - F.length(F.regexp_replace(text, "[\\x{10000}-\\x{10FFFF}]", "")))
+    breaks = _count(text, "\n")
     return {
         "characters": chars,
-        "utf8": F.octet_length(text),
+        "utf8": size,
         "utf16": chars + astral,
         "markup": chars + 4 * _count(text, "&") + 3 * _count(text, "<>") + 5 * _count(text, "\"") + 4 * _count(text, "'"),
-        "json": chars + _count(text, "\"\\\n\r\t"),
-        "crlf": chars + _count(text, "\n"),
+        "json": chars + _count(text, "\"\\\r\t") + breaks,
+        "crlf": chars + breaks,
     }
 
 
 def ending(text: Column) -> Column:
-    """``cut``, ``open`` (stops without an end, in a form that need not have one) or ``whole``; null for placeholders."""
-    s = F.regexp_replace(text, "^[\\s\\p{IsWhite_Space}]+|[\\s\\p{IsWhite_Space}]+$", "")
-    mark = s.rlike("(\\.\\.\\.|…|[\\[(](?:\\.\\.\\.|…)[\\])]|&hellip;|&#8230;|&#x2026;)" + _CLOSE + "$")
-    half = s.rlike("(<(/?[A-Za-z][^<>]*|/)?|&#?\\w{0,8}|\\x{FFFD}+)$")
-    body = F.regexp_replace(s, "(\\s*</?[A-Za-z][^<>]*>)+$", "")
-    body = F.regexp_replace(body, "\\s*[\\[(](?:pp?|S|§)\\.?\\s?\\d[\\d–-]*[\\])]$", "")
-    last = F.regexp_replace(body, "(?s)^.*[.!?][\"”»’')\\]]*\\s+", "")
+    """``cut``, ``open`` (stops without an end, in a form that need not have one) or ``whole``; null for placeholders.
+
+    Only one expression runs over the whole text, the one that finds its last sentence.
+    """
+    s = F.btrim(text, F.lit(_SPACE))
+    end = F.right(s, F.lit(120))
+    mark = end.rlike("(\\.\\.\\.|…|[\\[(](?:\\.\\.\\.|…)[\\])]|&hellip;|&#8230;|&#x2026;)" + _CLOSE + "$")
+    half = end.rlike("(<(/?[A-Za-z][^<>]*|/)?|&#?\\w{0,8}|\\x{FFFD}+)$")
+    body = F.when(F.endswith(s, F.lit(">")), F.regexp_replace(s, "(?:</?[A-Za-z][^<>]*>\\s*)+$", "")).otherwise(s)
+    body = F.when(F.right(body, F.lit(1)).isin("]", ")"), F.regexp_replace(body, "[\\[(](?:pp?|S|§)\\.?\\s?\\d[\\d–-]*[\\])]$", "")).otherwise(body)
+    last = F.regexp_replace(F.btrim(body, F.lit(_SPACE)), "(?s)^.*[.!?][\"”»’')\\]]*\\s+", "")
     last = F.regexp_replace(last, "^(<[^<>]*>|[\\s\"“„«*_'])+", "")
-    last = F.regexp_replace(last, _CLOSE + "$", "")
+    last = F.btrim(last, F.lit(_SPACE + "\"”“»›’'`*_"))
     number = last.rlike("(^|[\\s(=<>≤≥±-])0[.,]$")
     ended = last.rlike("[.!?。][\"”»’')\\]]*$")
     digits = F.regexp_count(last, F.lit("(?<![\\p{L}\\d])\\d[\\d.,]*"))
@@ -63,18 +70,19 @@ def ending(text: Column) -> Column:
     code = last.rlike("(^|\\s)\\S*\\p{L}\\S*[-/]\\d+$|\\S\\.\\p{L}+/\\S+$|https?://\\S+$|^\\|.*\\|$")
     bracketed = last.rlike("^[(\\[].*[)\\]]$")
     cell = digits * 2 >= words
-    short = F.regexp_count(s, F.lit("[^\\s\\p{IsWhite_Space}]+")) <= 3
+    short = (F.length(s) < 120) & (F.regexp_count(s, F.lit("\\S+")) <= 3)
     return F.when((s == "") | (short & ~mark & ~half), F.lit(None).cast("string")).when(mark | half | number, "cut").when(ended | (last == ""), "whole").when(labelled | code | bracketed | cell, "open").otherwise("cut")
 
 
-def with_endings(texts: DataFrame) -> DataFrame:
-    """``texts (tab, row_key, source, text)`` with its ``ending``, without placeholders and nulls."""
-    return texts.filter("text is not null and row_key is not null").withColumn("ending", ending(F.col("text"))).filter("ending is not null")
+def measured(texts: DataFrame) -> DataFrame:
+    """``(tab, row_key, source, ending, sizes, digest)`` of ``texts (tab, row_key, source, text)``: one pass over the texts."""
+    sizes = F.array(*[v.cast("int") for v in lengths(F.col("text")).values()])
+    rows = texts.filter("text is not null and text <> '' and row_key is not null")
+    return rows.select("tab", "row_key", F.coalesce("source", F.lit("")).alias("source"), ending(F.col("text")).alias("ending"), sizes.alias("sizes"), F.xxhash64("text").alias("digest"))
 
 
-def _by_encoding(rows: DataFrame) -> DataFrame:
-    sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("encoding"), v.cast("int").alias("size")) for k, v in lengths(F.col("text")).items()]))
-    return rows.select("tab", "row_key", "source", "ending", sizes.alias("x")).select("tab", "row_key", "source", "ending", "x.*")
+def _by_encoding(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, F.posexplode("sizes").alias("encoding", "size"))
 
 
 def limits(rows: DataFrame) -> DataFrame:
@@ -83,26 +91,35 @@ def limits(rows: DataFrame) -> DataFrame:
     Equal texts of a source count once, so that copies of one text are no spike.  The histogram has a row per source,
     encoding and length; it is built with map-side combining, and no task sees more than one source's histogram.
     """
-    once = rows.groupBy("tab", "source", F.md5("text").alias("_text")).agg(F.first("text").alias("text"), F.first("ending").alias("ending"), F.min("row_key").alias("row_key"))
-    hist = _by_encoding(once).groupBy("tab", "source", "encoding", "size").agg(F.count_if(F.col("ending") == "cut").alias("stopped"), F.count(F.lit(1)).alias("texts"))
+    once = rows.filter("ending is not null").groupBy("tab", "source", "digest").agg(F.first("ending").alias("ending"), F.first("sizes").alias("sizes"))
+    hist = _by_encoding(once, "tab", "source", "ending").groupBy("tab", "source", "encoding", "size").agg(F.count_if(F.col("ending") == "cut").alias("stopped"), F.count(F.lit(1)).alias("texts"))
     total = hist.groupBy("tab", F.lit("*").alias("source"), "encoding", "size").agg(F.sum("stopped").alias("stopped"), F.sum("texts").alias("texts"))
     near = W.partitionBy("tab", "source", "encoding").orderBy("size").rangeBetween(-AROUND, AROUND)
-    both = hist.withColumn("source", F.coalesce("source", F.lit(""))).unionByName(total).withColumn("around", (F.sum("stopped").over(near) - F.col("stopped")) / (2 * AROUND))
+    both = hist.unionByName(total).withColumn("around", (F.sum("stopped").over(near) - F.col("stopped")) / (2 * AROUND))
     spike = (F.col("stopped") >= LEAST) & (F.col("stopped") >= TIMES * F.col("around")) & (F.col("stopped") >= MOSTLY * F.col("texts")) & (F.col("size") >= 40)
     return both.filter(spike).drop("around")
 
 
-def cut(texts: DataFrame) -> DataFrame:
-    """``(tab, row_key)`` of the cut texts among ``texts (tab, row_key, source, text)``."""
-    scratch = Scratch(texts.sparkSession, "cut")
-    rows = with_endings(texts)
+def named_limits(rows: DataFrame) -> DataFrame:
+    """``limits`` with the names of the encodings."""
+    return limits(rows).withColumn("encoding", F.element_at(F.array(*map(F.lit, ENCODINGS)), F.col("encoding") + 1))
+
+
+def cut_keys(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(tab, row_key)`` of the cut texts among measured ``rows``."""
     limit = scratch.keep(limits(rows).select("tab", "source", "encoding", "size"))
     certain = rows.filter("ending = 'cut'").select("tab", "row_key")
-    at = _by_encoding(rows.filter("ending = 'open'")).withColumn("source", F.explode(F.array(F.coalesce("source", F.lit("")), F.lit("*"))))
+    at = _by_encoding(rows.filter("ending = 'open'"), "tab", "row_key", "source").withColumn("source", F.explode(F.array("source", F.lit("*"))))
     at_limit = at.join(limit, ["tab", "source", "encoding", "size"], "left_semi").select("tab", "row_key")
     return certain.unionByName(at_limit).distinct()
 
 
+def cut(texts: DataFrame) -> DataFrame:
+    """``(tab, row_key)`` of the cut texts among ``texts (tab, row_key, source, text)``."""
+    scratch = Scratch(texts.sparkSession, "cut")
+    return cut_keys(scratch.keep(measured(texts)), scratch)
+
+
 def catalogue(source_api: Column) -> Column:
     """The catalogue's name in lower case; names joined with ``+`` in alphabetical order."""
     return F.array_join(F.array_sort(F.array_distinct(F.transform(F.split(F.lower(source_api), "\\+"), lambda x: F.trim(x)))), "+")
@@ -124,9 +141,10 @@ def found(recs: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame
 
 def shares(recs: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """``(tab, catalogue, texts, cut_texts, share)``: how often each catalogue's texts are cut, by distinct key; names joined with ``+`` count for each."""
-    texts = texts_of(recs, evidence, sources)
-    keys = with_endings(texts).select("tab", "row_key", F.coalesce("source", F.lit("unknown")).alias("source")).distinct()
-    flagged = keys.join(cut(texts).withColumn("hit", F.lit(1)), ["tab", "row_key"], "left")
+    scratch = Scratch(recs.sparkSession, "cut")
+    rows = scratch.keep(measured(texts_of(recs, evidence, sources)))
+    keys = rows.filter("ending is not null").select("tab", "row_key", F.when(F.col("source") == "", "unknown").otherwise(F.col("source")).alias("source")).distinct()
+    flagged = keys.join(cut_keys(rows, scratch).withColumn("hit", F.lit(1)), ["tab", "row_key"], "left")
     each = flagged.withColumn("catalogue", F.explode(F.split("source", "\\+")))
     out = each.groupBy("tab", "catalogue").agg(F.count(F.lit(1)).alias("texts"), F.count("hit").alias("cut_texts"))
     return out.withColumn("share", F.round(F.col("cut_texts") / F.col("texts"), 6))
