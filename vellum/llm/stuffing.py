@@ -33,14 +33,19 @@ ALONE, WITH_CURVE, FEW_WORDS, LOOSE, STEEP = 0.34, 0.56, 0.62, 1.6, -0.4
 
 
 def words(text: Column) -> Column:
-    """Words of letters in lower case; the names of tags don't count."""
-    return F.filter(F.split(F.lower(F.regexp_replace(text, "</?[A-Za-z][A-Za-z0-9]*", " ")), "[^\\p{L}\\p{M}]+"), lambda w: w != "")
+    """Words of letters in lower case (and empty strings at the ends); the names of tags don't count."""
+    bare = F.when(text.contains("<"), F.regexp_replace(text, "</?[A-Za-z][A-Za-z0-9]*", " ")).otherwise(text)
+    return F.split(F.lower(bare), "[^\\p{L}\\p{M}]+")
 
 
 def pages(documents: DataFrame) -> DataFrame:
-    """``(doc_id, lang, n, v, slope, residual, counts)``: the fitted curve of each page and its word counts."""
+    """``(doc_id, lang, n, v, slope, residual, counts)``: the fitted curve of each page and its word counts.
+
+    Words and languages are represented by 64-bit hashes, so that counting and ranking work on numbers alone.
+    """
     rows = documents.filter("doc_id is not null and text is not null and text <> ''").select("doc_id", "lang", "text")
-    counted = rows.repartition("doc_id").select("doc_id", "lang", F.explode(words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("f"), F.max("lang").alias("lang"))
+    each = rows.repartition("doc_id").select("doc_id", F.when(F.col("lang").isNotNull(), F.xxhash64("lang")).alias("lang"), F.explode(words(F.col("text"))).alias("w"))
+    counted = each.filter("w <> ''").select("doc_id", "lang", F.xxhash64("w").alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("f"), F.max("lang").alias("lang"))
     ranked = counted.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("f"), "word")))
     x, y = F.log(F.col("r").cast("double")), F.log(F.col("f").cast("double"))
     sums = ranked.groupBy("doc_id").agg(
@@ -71,7 +76,7 @@ def features(documents: DataFrame, scratch: Scratch) -> DataFrame:
     overlap = hits.groupBy("doc_id", "base_lang").agg(F.sum(F.least(F.col("f") / F.col("n"), F.col("share"))).alias("o")).join(whole, "base_lang").select("doc_id", "base_lang", (F.col("o") / F.col("all_shares")).alias("o"))
     best = overlap.groupBy("doc_id").agg(F.max(F.struct(F.round("o", 9).alias("o"), "base_lang")).alias("b"))
     own = fitted.drop("counts").join(best, "doc_id", "left")
-    return own.select("doc_id", F.coalesce("b.base_lang", "lang", F.lit("")).alias("base_lang"), "n", "slope", (F.col("v") / F.pow("n", F.lit(0.7))).alias("height"), "residual", F.coalesce("b.o", F.lit(0.0)).alias("overlap"), F.floor(2 * F.log2("n")).cast("int").alias("size_class"))
+    return own.select("doc_id", F.coalesce("b.base_lang", "lang", F.lit(0)).alias("base_lang"), "n", "slope", (F.col("v") / F.pow("n", F.lit(0.7))).alias("height"), "residual", F.coalesce("b.o", F.lit(0.0)).alias("overlap"), F.floor(2 * F.log2("n")).cast("int").alias("size_class"))
 
 
 def judged(documents: DataFrame) -> DataFrame:
@@ -88,7 +93,7 @@ def judged(documents: DataFrame) -> DataFrame:
     steeper = F.col("slope") - m["slope"]
     extreme = (ratio["height"] < FEW_WORDS) | (ratio["residual"] > LOOSE) & (steeper < STEEP / 4) | (steeper < STEEP)
     flagged = (ratio["overlap"] < ALONE) | (ratio["overlap"] < WITH_CURVE) & extreme
-    return both.select("doc_id", "base_lang", "n", *[F.round(v, 6).alias(f"{k}_ratio") for k, v in ratio.items()], F.round(steeper, 6).alias("steeper"), flagged.alias("is_stuffed"))
+    return both.select("doc_id", "n", *[F.round(v, 6).alias(f"{k}_ratio") for k, v in ratio.items()], F.round(steeper, 6).alias("steeper"), flagged.alias("is_stuffed"))
 
 
 def found(documents: DataFrame) -> DataFrame:
