@@ -22,13 +22,16 @@ SPACE_OR_PUNCT = "[\\p{IsWhite_Space}\\x1c-\\x1f\\p{P}]+"
 
 
 def stripped(title: Column) -> Column:
-    """The title without white space, punctuation and letter case; upper before lower, so that ß and SS agree."""
-    return F.lower(F.upper(F.regexp_replace(title, SPACE_OR_PUNCT, "")))
+    """The title without white space, punctuation and letter case; upper before lower, so that ß and SS agree.
+
+    The replacement stands between the two, since the optimizer would reduce lower(upper(x)) to lower(x).
+    """
+    return F.lower(F.regexp_replace(F.upper(title), SPACE_OR_PUNCT, ""))
 
 
 def letter_histogram(text: Column) -> Column:
     """64 bits that depend on which characters occur how often, not on their order."""
-    return F.xxhash64(F.array_sort(F.split(text, "")))
+    return F.xxhash64(F.sort_array(F.split(text, "")))
 
 
 def _named(entries: Column, name: str) -> Column:

@@ -1,7 +1,7 @@
 """SQL counterparts, run on the same tables by another engine."""
 
 #: Title without white space (Unicode), punctuation (category P) and letter case.
-_STRIP = r"lower(upper(regexp_replace({t}, '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}\p{{P}}]+', '', 'g')))"
+_STRIP = r"lower(regexp_replace(upper({t}), '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}\p{{P}}]+', '', 'g'))"
 
 _RECORDS = (
     r"""

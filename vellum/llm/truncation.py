@@ -71,7 +71,7 @@ def ending(text: Column) -> Column:
     bracketed = last.rlike("^[(\\[].*[)\\]]$")
     cell = digits * 2 >= words
     short = (F.length(s) < 120) & (F.regexp_count(s, F.lit("\\S+")) <= 3)
-    return F.when((s == "") | (short & ~mark & ~half), F.lit(None).cast("string")).when(mark | half | number, "cut").when(ended | (last == ""), "whole").when(labelled | code | bracketed | cell, "open").otherwise("cut")
+    return F.when(text.isNull() | (s == "") | (short & ~mark & ~half), F.lit(None).cast("string")).when(mark | half | number, "cut").when(ended | (last == ""), "whole").when(labelled | code | bracketed | cell, "open").otherwise("cut")
 
 
 def measured(texts: DataFrame) -> DataFrame:
