@@ -30,6 +30,8 @@ BASE, LEAST_WORDS = 40, 12
 CLASS_PAGES = 8
 #: Ratios to the class medians: overlap alone; overlap together with the height or the residual; overlap together with the slope.
 ALONE, WITH_CURVE, FEW_WORDS, LOOSE, STEEP = 0.34, 0.56, 0.62, 1.6, -0.4
+#: Pages with fewer words vary more: there overlap and height have to be lower.
+SHORT, SHORT_ALONE, SHORT_FEW = 48, 0.2, 0.5
 
 
 def words(text: Column) -> Column:
@@ -91,8 +93,9 @@ def judged(documents: DataFrame) -> DataFrame:
     m = {c: F.coalesce(f"m_{c}", f"l_{c}") for c in ("slope", "height", "residual", "overlap")}
     ratio = {c: F.coalesce(F.try_divide(F.col(c), m[c]), F.lit(1.0)) for c in ("height", "residual", "overlap")}
     steeper = F.col("slope") - m["slope"]
-    extreme = (ratio["height"] < FEW_WORDS) | (ratio["residual"] > LOOSE) & (steeper < STEEP / 4) | (steeper < STEEP)
-    flagged = (ratio["overlap"] < ALONE) | (ratio["overlap"] < WITH_CURVE) & extreme
+    short = F.col("n") < SHORT
+    extreme = (ratio["height"] < F.when(short, SHORT_FEW).otherwise(FEW_WORDS)) | (ratio["residual"] > LOOSE) & (steeper < STEEP / 4) | (steeper < STEEP)
+    flagged = (ratio["overlap"] < F.when(short, SHORT_ALONE).otherwise(ALONE)) | (ratio["overlap"] < WITH_CURVE) & extreme
     return both.select("doc_id", "n", *[F.round(v, 6).alias(f"{k}_ratio") for k, v in ratio.items()], F.round(steeper, 6).alias("steeper"), flagged.alias("is_stuffed"))
 
 
