@@ -38,13 +38,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _clear(spark: SparkSession, root: str) -> None:
+    try:
+        remove(spark, root)
+    except Exception:  # the session is gone; the folder's own retention applies
+        pass
+
+
 class Scratch:
-    """The tables of one run of an iterative operator; superseded ones are removed as it goes on."""
+    """The tables of one run of an iterative operator; superseded ones are removed as it goes on, the rest when Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        atexit.register(_clear, spark, self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` now and return the table read back."""
