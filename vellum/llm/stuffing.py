@@ -28,10 +28,11 @@ from ..sources.shared import Scratch
 BASE, LEAST_WORDS = 40, 12
 #: A class with fewer pages takes the medians of its whole language.
 CLASS_PAGES = 8
-#: Ratios to the class medians: overlap alone; overlap together with the height or the residual; overlap together with the slope.
-ALONE, WITH_CURVE, FEW_WORDS, LOOSE, STEEP = 0.34, 0.56, 0.62, 1.6, -0.4
-#: Pages with fewer words vary more: there overlap and height have to be lower.
-SHORT, SHORT_ALONE, SHORT_FEW = 48, 0.2, 0.5
+#: Bounds on the ratios to the class medians.  Ratios of short pages scatter more, as one over the root of the number of words,
+#: so the bounds fall with it: (for very long pages, times one over the root).  ALONE: overlap by itself; WITH_CURVE is added to it
+#: where the curve is extreme, by its height (HEIGHT), its residual (LOOSE) or its slope (STEEP).
+ALONE, HEIGHT = (0.72, 3.0), (0.82, 2.0)
+WITH_CURVE, LOOSE, STEEP = 0.2, 1.8, -0.4
 
 
 def words(text: Column) -> Column:
@@ -93,9 +94,10 @@ def judged(documents: DataFrame) -> DataFrame:
     m = {c: F.coalesce(f"m_{c}", f"l_{c}") for c in ("slope", "height", "residual", "overlap")}
     ratio = {c: F.coalesce(F.try_divide(F.col(c), m[c]), F.lit(1.0)) for c in ("height", "residual", "overlap")}
     steeper = F.col("slope") - m["slope"]
-    short = F.col("n") < SHORT
-    extreme = (ratio["height"] < F.when(short, SHORT_FEW).otherwise(FEW_WORDS)) | (ratio["residual"] > LOOSE) & (steeper < STEEP / 4) | (steeper < STEEP)
-    flagged = (ratio["overlap"] < F.when(short, SHORT_ALONE).otherwise(ALONE)) | (ratio["overlap"] < WITH_CURVE) & extreme
+    root = F.sqrt(F.col("n").cast("double"))
+    alone, height = ALONE[0] - ALONE[1] / root, HEIGHT[0] - HEIGHT[1] / root
+    extreme = (ratio["height"] < height) | (ratio["residual"] > LOOSE) & (steeper < STEEP / 4) | (steeper < STEEP)
+    flagged = (ratio["overlap"] < alone) | (ratio["overlap"] < alone + WITH_CURVE) & extreme
     return both.select("doc_id", "n", *[F.round(v, 6).alias(f"{k}_ratio") for k, v in ratio.items()], F.round(steeper, 6).alias("steeper"), flagged.alias("is_stuffed"))
 
 
