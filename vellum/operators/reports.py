@@ -21,7 +21,7 @@ def citations(reports: DataFrame) -> DataFrame:
 def paragraphs(reports: DataFrame) -> DataFrame:
     """``(doc_id, place, paragraph)`` of the prose."""
     parts = reports.select("doc_id", F.posexplode(F.split(prose(F.col("text")), r"\n\s*\n")).alias("place", "p"))
-    return parts.select("doc_id", "place", F.regexp_replace("p", r"^\s+|\s+$", "").alias("paragraph")).filter("paragraph <> ''")
+    return parts.select("doc_id", F.col("place").cast("bigint").alias("place"), F.regexp_replace("p", r"^\s+|\s+$", "").alias("paragraph")).filter("paragraph <> ''")
 
 
 def bare_figures(reports: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def memory_entries(files: DataFrame) -> DataFrame:
     head = F.when(F.col("s").rlike(r"^##\s+\w+\s*$"), F.regexp_extract("s", r"^##\s+(\w+)", 1))
     kept = lines.withColumn("kind", F.last(head, ignorenulls=True).over(W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)))
     entry = r"^\s*-\s*\[(\d{4}-\d{2}-\d{2})\]\s*(.*?)(?:\s*\{tags:\s*([^}]*)\})?\s*$"
-    rows = kept.filter(F.col("s").rlike(r"^\s*-\s*\[\d{4}-\d{2}-\d{2}\]")).select("doc_id", "line", F.coalesce("kind", F.lit("preference")).alias("kind"), *[F.regexp_extract("s", entry, i).alias(c) for i, c in ((1, "date"), (2, "text"), (3, "tags"))])
+    rows = kept.filter(F.col("s").rlike(r"^\s*-\s*\[\d{4}-\d{2}-\d{2}\]")).select("doc_id", F.col("line").cast("bigint").alias("line"), F.coalesce("kind", F.lit("preference")).alias("kind"), *[F.regexp_extract("s", entry, i).alias(c) for i, c in ((1, "date"), (2, "text"), (3, "tags"))])
     return rows.filter("text <> ''")
 
 
@@ -56,4 +56,4 @@ def capped(entries: DataFrame, per_kind: int = vocab.MEMORY_PER_KIND, total: int
     w = W.partitionBy(owner, "kind").orderBy(F.desc("date"), "line")
     some = entries.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= per_kind)
     w = W.partitionBy(owner).orderBy(F.desc("date"), "line")
-    return some.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= total).drop("rk")
+    return some.withColumn("place", F.row_number().over(w).cast("bigint")).filter(F.col("place") <= total).drop("rk")

@@ -189,7 +189,7 @@ def dedup_merge(t: Ledger) -> DataFrame:
     k = t.recs.withColumn("k", F.coalesce(identity.title_key(F.col("title"), F.col("year")), F.concat(F.lit("r"), F.col("rec_id").cast("string"))))
     m = catalogue.merged(k, "k")
     ids = k.groupBy("k").agg(F.min("rec_id").alias("group_id"))
-    return m.join(ids, "k").select("group_id", "rows", "title", "venue", "year", "doi", F.greatest(F.coalesce(F.size("authors"), F.lit(0)), F.lit(0)).alias("n_authors"), "citations", F.size("found_by").alias("n_queries"))
+    return m.join(ids, "k").select("group_id", "rows", "title", "venue", "year", "doi", F.greatest(F.coalesce(F.size("authors"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_authors"), "citations", F.size("found_by").cast("bigint").alias("n_queries"))
 
 
 @query("SELECT rec_id, coalesce(citations, 0) AS citations, row_number() OVER (ORDER BY coalesce(citations, 0) DESC, rec_id) AS place FROM recs")

@@ -46,7 +46,7 @@ def stream_latest_verdict(t: Ledger) -> DataFrame:
 def stream_weekly_decisions(t: Ledger) -> DataFrame:
     """Windowed counts of the stream; complete mode keeps every week."""
     rows = latest.drain(latest.counts_by_window(latest.read_log(t.spark, f"{t.folder}/screening.parquet*", t.screening.schema)))
-    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("week"), "n")
+    return rows.select(F.col("start").cast("string").alias("week"), "n")
 
 
 @query("SELECT DISTINCT claim, source, count(*) OVER (PARTITION BY claim) - 1 AS partners FROM (SELECT DISTINCT claim, source FROM cs WHERE source IS NOT NULL)", True)

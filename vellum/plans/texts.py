@@ -103,7 +103,7 @@ def lang_tag_valid(t: Ledger) -> DataFrame:
 
 @query(f"SELECT doc_id, length({_PROSE}) AS chars FROM {_REPORTS}")
 def report_prose(t: Ledger) -> DataFrame:
-    return _reports(t).select("doc_id", F.length(text.prose(F.col("text"))).alias("chars"))
+    return _reports(t).select("doc_id", F.length(text.prose(F.col("text"))).cast("bigint").alias("chars"))
 
 
 @query(f"SELECT doc_id, cited FROM {_CITED}")
@@ -186,7 +186,7 @@ def memory_parse(t: Ledger) -> DataFrame:
 
 @query(f"SELECT kind, count(*) AS n, min(date) AS oldest, max(date) AS newest, max(length(text)) AS longest, count(*) FILTER (length(text) > 200) AS too_long FROM {_ENTRIES} WHERE text <> '' GROUP BY 1")
 def memory_stats(t: Ledger) -> DataFrame:
-    return _entries(t).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("oldest"), F.max("date").alias("newest"), F.max(F.length("text")).alias("longest"), F.count_if(F.length("text") > vocab.MEMORY_CHARS).alias("too_long"))
+    return _entries(t).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("oldest"), F.max("date").alias("newest"), F.max(F.length("text")).cast("bigint").alias("longest"), F.count_if(F.length("text") > vocab.MEMORY_CHARS).alias("too_long"))
 
 
 @query(f"SELECT doc_id, line, kind, date, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY date DESC, line) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY date DESC, line) AS rk FROM {_ENTRIES} WHERE text <> '') WHERE rk <= 12) WHERE place <= 40")
@@ -259,7 +259,7 @@ def graph_top_entities(t: Ledger) -> DataFrame:
     """The two best connected nodes of each type (a top-k report)."""
     d = graphs.degree(_nodes(t), _edges(t)).join(_nodes(t), "id")
     w = W.partitionBy("type").orderBy(F.desc("degree"), "id")
-    return d.withColumn("rank_in_type", F.row_number().over(w)).filter("rank_in_type <= 2").select("id", "type", "degree", "rank_in_type")
+    return d.withColumn("rank_in_type", F.row_number().over(w).cast("bigint")).filter("rank_in_type <= 2").select("id", "type", "degree", "rank_in_type")
 
 
 @query("SELECT a.id, CASE WHEN s.id IS NULL THEN 'graph-unknown-id' WHEN i.id IS NULL THEN 'graph-excluded-source' WHEN s.read_at IS NULL THEN 'graph-unread-source' ELSE 'ok' END AS state FROM (SELECT DISTINCT source AS id FROM screening WHERE source IS NOT NULL) a LEFT JOIN sources s ON s.id = a.id LEFT JOIN inc i ON i.id = a.id", True)
@@ -327,7 +327,7 @@ def verify_validate(t: Ledger) -> DataFrame:
 @query("SELECT s.id, CASE WHEN length(trim(r.abstract)) >= 200 THEN 'read' ELSE 'skipped' END AS state, length(trim(r.abstract)) AS chars FROM sources s JOIN recs r ON r.rec_id = s.rec_id WHERE s.read_at IS NULL")
 def mark_read_all(t: Ledger) -> DataFrame:
     """What a bulk marking would read: sources whose text is long enough; the others are listed as skipped."""
-    n = F.length(F.trim("abstract"))
+    n = F.length(F.trim("abstract")).cast("bigint")
     rows = t.sources.filter("read_at is null").select("id", "rec_id").join(t.recs.select("rec_id", "abstract"), "rec_id")
     return rows.select("id", F.when(n >= vocab.MIN_CACHED_CHARS, "read").otherwise("skipped").alias("state"), n.alias("chars"))
 
@@ -346,7 +346,7 @@ def vocab_gap(t: Ledger) -> DataFrame:
 def chunk_sections(t: Ledger) -> DataFrame:
     """Full texts cut at their headings."""
     rows = t.documents.filter("doc_kind = 'fulltext'").select("doc_id", F.explode(F.slice(F.split(F.concat(F.lit("\n"), "text"), "\n#+ "), 2, 1_000_000)).alias("s"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), F.max(F.length("s")).alias("longest"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), F.max(F.length("s")).cast("bigint").alias("longest"))
 
 
 @query("""SELECT source, coalesce(max(CASE WHEN "column" = 'SQ1' THEN value END), '—') AS sq1, coalesce(max(CASE WHEN "column" = 'SQ2' THEN value END), '—') AS sq2, coalesce(max(CASE WHEN "column" = 'SQ3' THEN value END), '—') AS sq3 FROM (SELECT source, "column", arg_max(value, seq) AS value FROM extraction GROUP BY 1, 2) GROUP BY 1""", True)

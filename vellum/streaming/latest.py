@@ -23,9 +23,14 @@ def latest_stream(log: DataFrame) -> DataFrame:
 
 
 def counts_by_window(log: DataFrame, time: str = "at_time", late: str = "30 days", width: str = "7 days") -> DataFrame:
-    """Decisions per week with a bound on lateness: state of closed weeks is dropped."""
-    t = F.col(time).cast("timestamp")
-    return log.withColumn("_t", t).withWatermark("_t", late).groupBy(F.window("_t", width)).agg(F.count(F.lit(1)).alias("n"))
+    """``(start, n)``: decisions per week with a bound on lateness; in append and update mode closed weeks leave the state.
+
+    Times without zone are read as UTC, whatever the session's zone; weeks are counted from 1970-01-01.
+    """
+    zero = "timestamp_ntz'1970-01-01 00:00:00'"
+    instant = F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {zero}, cast({time} as timestamp_ntz))"))
+    weeks = log.filter(F.col(time).isNotNull()).select(instant.alias("_t")).withWatermark("_t", late).groupBy(F.window("_t", width).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return weeks.select(F.expr(f"{zero} + make_dt_interval(0, 0, 0, unix_micros(w.start) / 1000000)").alias("start"), "n")
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
