@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_reviewers": _with(consensus.reliability, "screening"),
         "p3_found": _with(components.groups, "recs"),
         "p5_found": _with(survivor.found, "recs"),
+        "p5_fields": _with(survivor.fields, "recs"),
         "p5_survivors": _with(survivor.survivors, "recs"),
         "p6_found": _with(truncation.found, "recs", "evidence", "sources"),
         "p6_shares": _with(truncation.shares, "recs", "evidence", "sources"),

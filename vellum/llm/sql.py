@@ -96,6 +96,14 @@ WITH v AS (
 SELECT source, CAST(sum(n) AS BIGINT) AS reviewers,
        round(CASE WHEN sum(n) > 1 THEN sum(n * (n - 1)) / (sum(n) * (sum(n) - 1.0)) END, 6) AS agreement
 FROM c GROUP BY source
+""",
+    "p5_fields": _GROUPS
+    + r"""
+SELECT group_id, 'citations' AS field, CAST(max(citations) AS VARCHAR) AS val FROM grp JOIN recs USING (rec_id) WHERE citations >= 0 GROUP BY 1
+UNION ALL
+SELECT DISTINCT group_id, 'source_api', v FROM (SELECT group_id, unnest(list_transform(string_split(lower(source_api), '+'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))) AS v FROM grp JOIN recs USING (rec_id)) WHERE v <> ''
+UNION ALL
+SELECT DISTINCT group_id, 'found_by', v FROM (SELECT group_id, unnest(found_by) AS v FROM grp JOIN recs USING (rec_id)) WHERE v <> ''
 """,
     "p3_found": _GROUPS + "SELECT rec_id, group_id FROM grp",
 }

@@ -105,14 +105,24 @@ def members(recs: DataFrame) -> DataFrame:
     return recs.select("rec_id", "title", "abstract", "citations", "source_api", "found_by").join(components.groups(recs), "rec_id")
 
 
+def plain_fields(rows: DataFrame) -> DataFrame:
+    """``(group_id, field, val)`` of the fields whose best support needs no weights: citations and the sets."""
+    citations = rows.filter("citations >= 0").groupBy("group_id").agg(F.max("citations").cast("string").alias("val")).select("group_id", F.lit("citations").alias("field"), "val")
+    api = rows.select("group_id", F.explode(catalogues(F.col("source_api"))).alias("val")).distinct().select("group_id", F.lit("source_api").alias("field"), "val")
+    by = rows.select("group_id", F.explode("found_by").alias("val")).filter("val is not null and val <> ''").distinct().select("group_id", F.lit("found_by").alias("field"), "val")
+    return citations.unionByName(api).unionByName(by)
+
+
 def found(recs: DataFrame) -> DataFrame:
     """``(group_id, field, val)``: the surviving value of each field of each group."""
     rows = Scratch(recs.sparkSession, "members").keep(members(recs))
     abstract = best_abstracts(rows).select("group_id", F.lit("abstract").alias("field"), F.col("rec_id").cast("string").alias("val"))
-    citations = rows.filter("citations >= 0").groupBy("group_id").agg(F.max("citations").cast("string").alias("val")).select("group_id", F.lit("citations").alias("field"), "val")
-    api = rows.select("group_id", F.explode(catalogues(F.col("source_api"))).alias("val")).distinct().select("group_id", F.lit("source_api").alias("field"), "val")
-    by = rows.select("group_id", F.explode("found_by").alias("val")).filter("val is not null and val <> ''").distinct().select("group_id", F.lit("found_by").alias("field"), "val")
-    return abstract.unionByName(citations).unionByName(api).unionByName(by)
+    return abstract.unionByName(plain_fields(rows))
+
+
+def fields(recs: DataFrame) -> DataFrame:
+    """``found`` without the abstracts."""
+    return plain_fields(members(recs))
 
 
 def survivors(recs: DataFrame) -> DataFrame:
