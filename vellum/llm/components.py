@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.connected import connect
 from ..operators.skew import HOT_ROWS, salted_lookup
 from ..sources.shared import Scratch
 
@@ -78,66 +79,6 @@ def star_edges(keys: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS) -> D
     return edges.select("a", F.col("rec_id").alias("b")).filter("a <> b").distinct()
 
 
-def connect(edges: DataFrame, hot_rows: int = HOT_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """``(id, group_id)`` for every vertex of ``edges (a, b)``; ``group_id`` is the smallest vertex linked directly or indirectly."""
-    scratch = scratch or Scratch(edges.sparkSession, "connect")
-    edges = edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = scratch.keep(edges)
-    forest: list[DataFrame] = []
-    while not edges.isEmpty():
-        parent = scratch.keep(_hook(edges))
-        parent = _collapse(parent, scratch, hot_rows)
-        roots = parent.filter("v <> p")
-        nxt = edges
-        for end in ("a", "b"):
-            nxt = salted_lookup(nxt, roots.select(F.col("v").alias(end), F.col("p").alias("_to")), [end], "b" if end == "a" else "a", "left", hot_rows)
-            nxt = nxt.withColumn(end, F.coalesce("_to", end)).drop("_to")
-        nxt = scratch.keep(nxt.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        scratch.drop(edges)
-        edges = nxt
-        forest.append(parent)
-    if not forest:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
-    labels = forest[-1]
-    for parent in reversed(forest[:-1]):  # each round's roots are the vertices of the next
-        up = labels.filter("v <> p").select(F.col("v").alias("p"), F.col("p").alias("_to"))
-        labels = salted_lookup(parent, up, ["p"], "v", "left", hot_rows).select("v", F.coalesce("_to", "p").alias("p"))
-        labels = scratch.keep(labels)
-    return labels.select(F.col("v").alias("id"), F.col("p").alias("group_id"))
-
-
-def _hook(edges: DataFrame) -> DataFrame:
-    """``(v, p)``: the other end of each vertex's smallest edge; the lower end of a mutual choice is a root.
-
-    If v is the lower end of its smallest edge, no edge of the other end is smaller unless that end hooks further down; so
-    the choice is mutual exactly when the other end's smallest edge has v as its lower end too.
-    """
-    ends = edges.select(F.explode(F.array("a", "b")).alias("v"), F.struct("a", "b").alias("e"))
-    best = ends.groupBy("v").agg(F.min("e").alias("e"))
-    return best.select("v", F.when(F.col("v") == F.col("e.a"), F.col("e.b")).otherwise(F.col("e.a")).alias("p"))
-
-
-def _collapse(parent: DataFrame, scratch: Scratch, hot_rows: int) -> DataFrame:
-    """Pointer doubling until every vertex points at its root; the first step also settles mutual choices."""
-    first = True
-    while True:
-        up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        step = salted_lookup(parent, up, ["p"], "v", "left", hot_rows).withColumn("pp", F.coalesce("pp", "p"))
-        if first:
-            # v <-> p: the lower one is the root of both
-            mutual = F.col("pp") == F.col("v")
-            step = step.select("v", F.when(mutual, F.least("v", "p")).otherwise(F.col("p")).alias("p"), F.lit(True).alias("moved"))
-        else:
-            step = step.select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved"))
-        step = scratch.keep(step)
-        moved = first or not step.filter("moved").isEmpty()
-        scratch.drop(parent)
-        parent, first = step.select("v", "p"), False
-        parent._vellum_path = step._vellum_path
-        if not moved:
-            return parent
-
-
 def groups(recs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(rec_id, group_id)`` for every row in a group of two or more."""
     scratch = Scratch(recs.sparkSession, "groups")

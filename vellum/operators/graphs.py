@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import salted_lookup
+from ..sources.shared import Scratch
+from .connected import connect
+from .skew import HOT_ROWS, salted_lookup
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,11 +36,15 @@ def two_hop_counts(edges: DataFrame) -> DataFrame:
     return joined.groupBy(F.col("a").alias("id")).agg(F.countDistinct("cluster").alias("bridges"))
 
 
-def smallest_neighbour_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """``(id, label)`` after ``rounds`` of taking the smallest label among a node and its neighbours."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
-    labels = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        labels = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
-    return labels
+def component_labels(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(id, label)``: the smallest node that a node is linked to directly or through other nodes, however far; its own id when alone.
+
+    Edges with an end that is no node link nothing.
+    """
+    scratch = Scratch(nodes.sparkSession, "labels")
+    ids = scratch.keep(nodes.select("id").filter("id is not null").distinct())
+    inner = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    for end, other in (("a", "b"), ("b", "a")):
+        inner = salted_lookup(inner, ids.withColumnRenamed("id", end), [end], other, "left_semi", hot_rows)
+    labels = connect(inner, hot_rows, scratch)
+    return ids.join(labels, "id", "left").select("id", F.coalesce("group_id", "id").alias("label"))

@@ -251,7 +251,8 @@ def graph_bridges(t: Ledger) -> DataFrame:
 @query(f"""WITH b AS (SELECT DISTINCT * FROM {_B}), l0 AS (SELECT id, id AS label FROM {_N}), l1 AS (SELECT l.id, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l0 l LEFT JOIN b ON b.a = l.id LEFT JOIN l0 n ON n.id = b.b GROUP BY l.id, l.label),
  l2 AS (SELECT l.id, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l1 l LEFT JOIN b ON b.a = l.id LEFT JOIN l1 n ON n.id = b.b GROUP BY l.id, l.label) SELECT l.id, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l2 l LEFT JOIN b ON b.a = l.id LEFT JOIN l2 n ON n.id = b.b GROUP BY l.id, l.label""")
 def graph_clusters(t: Ledger) -> DataFrame:
-    return graphs.smallest_neighbour_labels(_nodes(t), _edges(t), 3)
+    """Every node with the smallest node of its whole component; the SQL stops after three rounds and splits wider ones."""
+    return graphs.component_labels(_nodes(t), _edges(t))
 
 
 @query(f"SELECT id, type, degree, rank_in_type FROM (SELECT d.id, type, degree, row_number() OVER (PARTITION BY type ORDER BY degree DESC, d.id) AS rank_in_type FROM {_D} d JOIN {_N} n ON n.id = d.id) WHERE rank_in_type <= 2")
