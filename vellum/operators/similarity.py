@@ -11,18 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch
+from .connected import connect
 from .skew import salted_lookup
 
 
-def linked(items: DataFrame, words: Column, threshold: float = 0.8) -> DataFrame:
-    """``(id, class_id, links)`` for ``items (id, ...)``: the class of equal sets and how many other items are at least that similar.
-
-    Items with an empty set are left out; ``class_id`` is the smallest id of the class.
-    """
-    scratch = Scratch(items.sparkSession, "similarity")
+def _classes(items: DataFrame, words: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(id, k, words)`` of items with a set that isn't empty, and ``(k, class_id, members, words)`` of each distinct set."""
     sets = items.select("id", F.array_sort(words).alias("words")).filter(F.size("words") > 0).select("id", F.md5(F.array_join("words", " ")).alias("k"), "words")
     sets = scratch.keep(sets)
-    classes = scratch.keep(sets.groupBy("k").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.first("words").alias("words")))
+    return sets, scratch.keep(sets.groupBy("k").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.first("words").alias("words")))
+
+
+def _pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, ma, mb, ua, ub, both)`` of classes at least that similar, a < b."""
     each = classes.select("class_id", F.size("words").alias("n"), F.explode("words").alias("w"))
     df = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     ranked = salted_lookup(each, df, ["w"], "class_id", counted="df").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
@@ -31,8 +32,37 @@ def linked(items: DataFrame, words: Column, threshold: float = 0.8) -> DataFrame
     pairs = a.join(b, "w").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
     wa, wb = classes.select(F.col("class_id").alias("a"), F.col("words").alias("ua"), F.col("members").alias("ma")), classes.select(F.col("class_id").alias("b"), F.col("words").alias("ub"), F.col("members").alias("mb"))
     checked = pairs.join(wa, "a").join(wb, "b").withColumn("both", F.size(F.array_intersect("ua", "ub")))
-    good = checked.filter(F.col("both") >= threshold * (F.size("ua") + F.size("ub") - F.col("both")) - 1e-9)
+    return checked.filter(_similar(threshold))
+
+
+def _similar(threshold: float) -> Column:
+    return F.col("both") >= threshold * (F.size("ua") + F.size("ub") - F.col("both")) - 1e-9
+
+
+def linked(items: DataFrame, words: Column, threshold: float = 0.8) -> DataFrame:
+    """``(id, class_id, links)`` for ``items (id, ...)``: the class of equal sets and how many other items are at least that similar.
+
+    Items with an empty set are left out; ``class_id`` is the smallest id of the class.
+    """
+    scratch = Scratch(items.sparkSession, "similarity")
+    sets, classes = _classes(items, words, scratch)
+    good = _pairs(classes, threshold)
     ends = good.select(F.explode(F.array(F.struct(F.col("a").alias("class_id"), F.col("mb").alias("m")), F.struct(F.col("b").alias("class_id"), F.col("ma").alias("m")))).alias("x")).select("x.*")
     links = ends.groupBy("class_id").agg(F.sum("m").alias("m"))
     table = classes.join(links, "class_id", "left").select("k", "class_id", "members", (F.col("members") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
     return salted_lookup(sets.select("id", "k"), table, ["k"], "id", counted="members").select("id", "class_id", "links")
+
+
+def folded(items: DataFrame, words: Column, same: float, near: float) -> DataFrame:
+    """``(id, group_id, near)``: items at least ``same`` similar, directly or through others, share the smallest id of them.
+
+    ``near`` counts the other items of a similarity from ``near`` to below ``same``.  Items with an empty set are left out.
+    """
+    scratch = Scratch(items.sparkSession, "folded")
+    sets, classes = _classes(items, words, scratch)
+    pairs = scratch.keep(_pairs(classes, near).select("a", "b", "ma", "mb", _similar(same).alias("same")))
+    groups = connect(pairs.filter("same").select("a", "b"), scratch=scratch).withColumnRenamed("id", "class_id")
+    ends = pairs.filter("not same").select(F.explode(F.array(F.struct(F.col("a").alias("class_id"), F.col("mb").alias("m")), F.struct(F.col("b").alias("class_id"), F.col("ma").alias("m")))).alias("x")).select("x.*")
+    table = classes.join(groups, "class_id", "left").join(ends.groupBy("class_id").agg(F.sum("m").alias("near")), "class_id", "left")
+    table = table.select("k", "members", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("near", F.lit(0)).alias("near"))
+    return salted_lookup(sets.select("id", "k"), table, ["k"], "id", counted="members").select("id", "group_id", "near")

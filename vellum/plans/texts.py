@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from .. import vocab
 from ..functions import identity, text
-from ..operators import graphs, ingest, reports
+from ..operators import graphs, ingest, reports, similarity
 from ..operators.skew import salted_lookup
 from .audits import AUTHOR_KEYS, MISSING, numbers
 from .views import SQL, Ledger
@@ -202,11 +202,36 @@ def memory_screen(t: Ledger) -> DataFrame:
 
 @query(f"SELECT text_key, min(doc_id) AS doc_id, count(*) AS entries FROM (SELECT doc_id, array_to_string({_TOKENS.format('text')}, ' ') AS text_key FROM {_ENTRIES} WHERE text <> '') GROUP BY 1 HAVING count(*) > 1")
 def memory_fold(t: Ledger) -> DataFrame:
-    """Entries with the same content words: one row per class with its number of entries."""
+    """Entries of all files with the same content words, one row per class with its number of entries; ``memory_fold_similar`` folds near ones."""
     k = _entries(t).select("doc_id", F.array_join(F.array_sort(text.tokens(F.col("text"))), " ").alias("text_key"))
     return k.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("entries")).filter("entries > 1")
 
 
+_NEAR = f"""e AS (SELECT doc_id, line, date, text, tags, {_TOKENS.format('text')} AS w FROM {_ENTRIES} WHERE text <> ''),
+ p AS (SELECT *, shared >= {vocab.SAME_ENTRY} * (na + nb - shared) - 1e-9 AS same FROM (SELECT a.doc_id, a.line AS a, b.line AS b, len(list_intersect(a.w, b.w)) AS shared, len(a.w) AS na, len(b.w) AS nb FROM e a JOIN e b ON b.doc_id = a.doc_id AND b.line <> a.line) WHERE shared > 0 AND shared >= {vocab.NEAR_ENTRY} * (na + nb - shared) - 1e-9),
+ r AS (SELECT doc_id, line, line AS low FROM e UNION SELECT r.doc_id, p.b, r.low FROM r JOIN p ON p.doc_id = r.doc_id AND p.a = r.line WHERE p.same),
+ g AS (SELECT doc_id, line, min(low) AS fold_line FROM r GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, k AS (SELECT doc_id, fold_line, count(*) AS entries, first(text ORDER BY length(text) DESC, line) AS kept, min(date) AS since, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(string_agg(tags, ','), ','), lambda x: trim(x)), lambda x: x <> ''))), ',') AS all_tags FROM g JOIN e USING (doc_id, line) GROUP BY 1, 2)
+ SELECT doc_id, line, fold_line, entries, (SELECT count(*) FROM p WHERE p.doc_id = g.doc_id AND p.a = g.line AND NOT p.same) AS near, kept, since, all_tags FROM g JOIN k USING (doc_id, fold_line)""")
+def memory_fold_similar(t: Ledger) -> DataFrame:
+    """Compaction within each memory file: entries of similarity 0.8 or more fold, whatever their kind, directly or through others.
+
+    Each entry names the first line it folds into, how many entries fold there, its partners from 0.55 to below 0.8 in
+    the file (for review), and what is kept of the fold: the longest text, the earliest date and all tags.
+    """
+    e = _entries(t).withColumn("id", F.col("doc_id") * 100000 + F.col("line"))
+    in_file = F.transform(text.tokens(F.col("text")), lambda w: F.concat(F.col("doc_id").cast("string"), F.lit(" "), w))
+    e = e.join(similarity.folded(e, in_file, vocab.SAME_ENTRY, vocab.NEAR_ENTRY), "id", "left")
+    e = e.withColumn("fold_line", F.coalesce(F.col("group_id") % 100000, F.col("line")).cast("bigint")).withColumn("near", F.coalesce("near", F.lit(0)))
+    tags = F.filter(F.transform(F.split(F.array_join(F.collect_list("tags"), ","), ","), lambda x: F.trim(x)), lambda x: x != "")
+    kept = e.groupBy("doc_id", "fold_line").agg(
+        F.count(F.lit(1)).alias("entries"), F.max_by("text", F.struct(F.length("text"), -F.col("line"))).alias("kept"), F.min("date").alias("since"), F.array_join(F.array_sort(F.array_distinct(tags)), ",").alias("all_tags")
+    )
+    return e.select("doc_id", "line", "fold_line", "near").join(kept, ["doc_id", "fold_line"])
+
+
 def _nodes(t: Ledger) -> DataFrame:
     return t.oa_works.filter("id is not null").select("id", F.coalesce("work_type", F.lit("unknown")).alias("type")).groupBy("id").agg(F.min("type").alias("type"))
 
