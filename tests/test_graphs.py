@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 from vellum.operators import graphs
+from vellum.plans import texts
 
 from .conftest import values
+from .oracle import rows_of_spark, rows_of_sql
 
 
 def test_component_labels_equal_union_find_on_a_long_chain(spark):
@@ -28,3 +30,13 @@ def test_component_labels_equal_union_find_on_a_long_chain(spark):
             up[high] = low
     got = graphs.component_labels(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, "source string, target string"))
     assert values(got, "id", "label") == sorted(((n, root(n)) for n in nodes), key=repr)
+
+
+def test_top_30_when_one_type_holds_most_nodes(spark, make, tmp_path):
+    works = [{"delivery_id": i, "id": f"W{i:02d}", "work_type": "article" if i < 40 else f"t{i % 3}", "referenced_works": [f"W{k:02d}" for k in range(i)] if i < 40 else []} for i in range(50)]
+    make("oa_works", *works).write.parquet(str(tmp_path / "oa_works.parquet"))
+    got = texts.QUERIES["graph_top_30"](spark, str(tmp_path))
+    rows = {r["id"]: r["rank_in_type"] for r in got.collect()}
+    # all articles have degree 39, the rest none: 30 articles by id, and two of each other type
+    assert rows == {f"W{i:02d}": i + 1 for i in range(30)} | {"W40": 1, "W43": 2, "W41": 1, "W44": 2, "W42": 1, "W45": 2}
+    assert rows_of_spark(got) == rows_of_sql(texts.ORACLES["graph_top_30"], str(tmp_path))

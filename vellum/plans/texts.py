@@ -282,12 +282,25 @@ def graph_clusters(t: Ledger) -> DataFrame:
 
 @query(f"SELECT id, type, degree, rank_in_type FROM (SELECT d.id, type, degree, row_number() OVER (PARTITION BY type ORDER BY degree DESC, d.id) AS rank_in_type FROM {_D} d JOIN {_N} n ON n.id = d.id) WHERE rank_in_type <= 2")
 def graph_top_entities(t: Ledger) -> DataFrame:
-    """The two best connected nodes of each type (a top-k report)."""
+    """The two best connected nodes of each type (a top-k report); ``graph_top_30`` adds the best of all types."""
     d = graphs.degree(_nodes(t), _edges(t)).join(_nodes(t), "id")
     w = W.partitionBy("type").orderBy(F.desc("degree"), "id")
     return d.withColumn("rank_in_type", F.row_number().over(w).cast("bigint")).filter("rank_in_type <= 2").select("id", "type", "degree", "rank_in_type")
 
 
+@query(f"SELECT id, type, degree, rank_in_type FROM (SELECT d.id, type, degree, row_number() OVER (PARTITION BY type ORDER BY degree DESC, d.id) AS rank_in_type, row_number() OVER (ORDER BY degree DESC, d.id) AS r FROM {_D} d JOIN {_N} n ON n.id = d.id) WHERE rank_in_type <= 2 OR r <= 30")
+def graph_top_30(t: Ledger) -> DataFrame:
+    """The 30 best connected nodes and at least two of each type.
+
+    All better nodes of a type stand in the 30 when one of its nodes does, so the rank among those chosen is the rank in the type.
+    """
+    d = graphs.degree(_nodes(t), _edges(t)).join(_nodes(t), "id").select("id", "type", "degree")
+    w = W.partitionBy("type").orderBy(F.desc("degree"), "id")
+    two = d.withColumn("r", F.row_number().over(w)).filter("r <= 2").drop("r")
+    chosen = two.unionByName(d.orderBy(F.desc("degree"), "id").limit(30)).distinct()
+    return chosen.withColumn("rank_in_type", F.row_number().over(w).cast("bigint"))
+
+
 @query("SELECT a.id, CASE WHEN s.id IS NULL THEN 'graph-unknown-id' WHEN i.id IS NULL THEN 'graph-excluded-source' WHEN s.read_at IS NULL THEN 'graph-unread-source' ELSE 'ok' END AS state FROM (SELECT DISTINCT source AS id FROM screening WHERE source IS NOT NULL) a LEFT JOIN sources s ON s.id = a.id LEFT JOIN inc i ON i.id = a.id", True)
 def graph_ids(t: Ledger) -> DataFrame:
     """Ledger ids used elsewhere, classified: unknown, excluded, unread or fine."""
