@@ -383,11 +383,37 @@ def vocab_gap(t: Ledger) -> DataFrame:
 
 @query(r"SELECT doc_id, count(*) AS sections, max(length(s)) AS longest FROM (SELECT doc_id, unnest(regexp_split_to_array(chr(10) || text, '\n#+ ')[2:]) AS s FROM documents WHERE doc_kind = 'fulltext') GROUP BY 1")
 def chunk_sections(t: Ledger) -> DataFrame:
-    """Full texts cut at their headings."""
+    """Full texts cut at their headings: the number of headed sections and the longest; ``chunk_texts`` gives every chunk."""
     rows = t.documents.filter("doc_kind = 'fulltext'").select("doc_id", F.explode(F.slice(F.split(F.concat(F.lit("\n"), "text"), "\n#+ "), 2, 1_000_000)).alias("s"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), F.max(F.length("s")).cast("bigint").alias("longest"))
 
 
+#: How far a section's figures are to be relied on; a broken encoding of é counts as é.
+SECTION_RANKS = (
+    (1, "results?|findings|r.{1,2}sultats|ergebnisse|resultados"), (2, "methods?|methodology|m.{1,2}thodes|methoden|m.{1,2}todos"), (3, "discussion|diskussion|discusi.{1,2}n"),
+    (4, "limitations?|limites|grenzen|l.{1,2}mites"), (5, "related work"), (7, "introduction|einleitung|introducci.{1,2}n|abstract|r.{1,2}sum.{1,2}|zusammenfassung|resumen"),
+)
+_RANK = "CASE " + " ".join(rf"WHEN regexp_matches(heading, '(?i)^(?:[0-9.]+ +)?(?:{p})(?:[^\p{{L}}]|$)') THEN {r}" for r, p in SECTION_RANKS) + " ELSE 6 END"
+
+
+@query(rf"SELECT *, {_RANK} AS rank FROM (SELECT doc_id, place, CASE WHEN place > 0 THEN regexp_replace(string_split(s, chr(10))[1], '^\s+|\s+$', '', 'g') ELSE '' END AS heading, CASE WHEN place = 0 THEN substr(s, 2) ELSE array_to_string(string_split(s, chr(10))[2:], chr(10)) END AS text FROM (SELECT doc_id, generate_subscripts(a, 1) - 1 AS place, unnest(a) AS s FROM (SELECT doc_id, regexp_split_to_array(chr(10) || text, '\n#+ ') AS a FROM documents WHERE doc_kind = 'fulltext'))) WHERE place > 0 OR regexp_matches(text, '\S')")
+def chunk_texts(t: Ledger) -> DataFrame:
+    """Every chunk of the full texts, cut at their headings, with its heading's rank (results 1 ... abstract and introduction 7, others 6).
+
+    ``place`` 0 is the text before the first heading, without a heading of its own; it is left out when it is blank.  A
+    text without a heading is one chunk.
+    """
+    rows = t.documents.filter("doc_kind = 'fulltext'").select("doc_id", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), "\n#+ ")).alias("place", "s"))
+    first = F.substring_index("s", "\n", 1)
+    heading = F.when(F.col("place") > 0, F.regexp_replace(first, r"^\s+|\s+$", "")).otherwise("")
+    body = F.when(F.col("place") == 0, F.expr("substr(s, 2)")).otherwise(F.expr("substr(s, length(substring_index(s, '\n', 1)) + 2)"))
+    rows = rows.select("doc_id", F.col("place").cast("bigint").alias("place"), heading.alias("heading"), body.alias("text")).filter(r"place > 0 or text rlike '\\S'")
+    rank = F.lit(6)
+    for r, p in reversed(SECTION_RANKS):
+        rank = F.when(F.col("heading").rlike(rf"(?i)^(?:[0-9.]+ +)?(?:{p})(?:[^\p{{L}}]|$)"), r).otherwise(rank)
+    return rows.withColumn("rank", rank)
+
+
 @query("""SELECT source, coalesce(max(CASE WHEN "column" = 'SQ1' THEN value END), '—') AS sq1, coalesce(max(CASE WHEN "column" = 'SQ2' THEN value END), '—') AS sq2, coalesce(max(CASE WHEN "column" = 'SQ3' THEN value END), '—') AS sq3 FROM (SELECT source, "column", arg_max(value, seq) AS value FROM extraction GROUP BY 1, 2) GROUP BY 1""", True)
 def extraction_matrix(t: Ledger) -> DataFrame:
     """Sources by columns; a missing cell is a dash."""
