@@ -122,3 +122,26 @@ def test_page_source(spark, tmp_path):
     spark.dataSource.register(CataloguePages)
     df = spark.read.format("catalogue_pages").option("path", str(tmp_path)).load()
     assert values(df, "page", "place", "id", "title") == [("p1.json", 0, "W1", "A"), ("p1.json", 1, "W2", "B"), ("p2.json", 0, "W3", "")]
+
+
+def test_hot_keys_are_bounded_by_the_partitions(spark):
+    from vellum.operators.skew import PART, hot_keys
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    even = spark.range(10_000).select(F.col("id").alias("k"), F.lit(20).alias("_n"))
+    assert hot_keys(even, ["k"], 10) is None or hot_keys(even, ["k"], 10).count() <= parts / PART
+    one = even.unionByName(spark.createDataFrame([(-1, 300_000)], "k long, _n int"))
+    assert [r["k"] for r in hot_keys(one, ["k"], 10).collect()] == [-1]
+    rows = spark.range(200_000).select("id", (F.col("id") % 10_000).alias("k"))
+    assert salted_lookup(rows, even.select("k"), ["k"], "id", hot_rows=10).count() == 200_000
+
+
+def test_kept_tables_know_their_rows_and_can_be_cleared(spark):
+    from vellum.sources import shared
+
+    scratch = shared.Scratch(spark, "t")
+    kept = scratch.keep(spark.range(100).filter("id > 9"), top=F.max("id"))
+    assert shared.rows(kept) == 90 and shared.measure(kept, "top") == 99 and kept.count() == 90
+    assert shared.rows(scratch.keep(spark.range(3).filter("id > 9"))) == 0
+    shared.clear()
+    assert not shared._ROOTS

@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,29 +39,47 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _clear(spark: SparkSession, root: str) -> None:
-    try:
-        remove(spark, root)
-    except Exception:  # the session is gone; the folder's own retention applies
-        pass
+#: Folders of this process's operators that still stand.
+_ROOTS: dict[str, SparkSession] = {}
+
+
+def clear() -> None:
+    """Remove the tables of all operators run so far.  What they returned can't be read any more, so write or collect it first."""
+    for root, spark in list(_ROOTS.items()):
+        _ROOTS.pop(root, None)
+        try:
+            remove(spark, root)
+        except Exception:  # the session is gone; the folder's own retention applies
+            pass
+
+
+atexit.register(clear)
 
 
 class Scratch:
-    """The tables of one run of an iterative operator; superseded ones are removed as it goes on, the rest when Python ends."""
+    """The tables of one run of an operator.
+
+    Superseded ones are removed as an iteration goes on.  The rest stand as long as the returned rows may be read: until ``clear()``
+    is called, as between the queries of a long session, or Python ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        atexit.register(_clear, spark, self.root)
+        _ROOTS[self.root] = spark
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` now and return the table read back."""
+    def keep(self, df: DataFrame, **measures: Column) -> DataFrame:
+        """Write ``df`` now and return the table read back.
+
+        Its number of rows, and the aggregates named in ``measures``, are observed while it is written; see ``rows`` and ``measure``.
+        """
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("_rows"), *[m.alias(k) for k, m in measures.items()]).write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        back._vellum_path = path
+        back._vellum_path, back._vellum_seen = path, seen.get
         return back
 
     def drop(self, *frames: DataFrame) -> None:
@@ -68,3 +87,13 @@ class Scratch:
         for df in frames:
             if path := getattr(df, "_vellum_path", None):
                 remove(self.spark, path)
+
+
+def rows(df: DataFrame) -> int | None:
+    """The number of rows of a kept table; None for other frames."""
+    return getattr(df, "_vellum_seen", {}).get("_rows")
+
+
+def measure(df: DataFrame, name: str):
+    """An aggregate observed while ``df`` was written."""
+    return df._vellum_seen.get(name)
