@@ -78,6 +78,23 @@ def test_packing(spark, block):
     assert used <= -(-sum(sizes.values()) // 1000) * 1.02 + 1
 
 
+def test_items_that_fill_no_bin_stay_in_bounded_blocks(spark):
+    """Each item takes 0.6 of a bin, so that no round can close one: no block may grow beyond twice its size, whatever the number of rounds."""
+    n, block, rounds = 20_000, 100, []
+    rows = packing.pack(spark.range(n).select(F.col("id").alias("doc_id"), F.lit(600).cast("bigint").alias("tokens")), 1000, block=block, fan=4, rounds=rounds).collect()
+    assert check_packing(rows, {i: 600 for i in range(n)}, 1000) == n
+    for items, packed in rounds:
+        sizes = [r["count"] for r in packed.groupBy("block").count().collect()]
+        assert max(sizes) <= 2 * block and sum(sizes) == items and len(sizes) >= items // (2 * block)
+    assert all(later <= items // 2 for (items, _), (later, _) in zip(rounds, rounds[1:]))
+
+
+def test_full_pieces_have_containers_of_their_own(spark):
+    sized = spark.range(500).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit(3000).cast("bigint").alias("tokens")).repartition(7)
+    got = packing.pack(sized, 1000, block=50).groupBy("container").agg(F.count(F.lit(1)).alias("n"), F.first("container_fill").alias("fill")).collect()
+    assert len(got) == 1500 and all(r["n"] == 1 and r["fill"] == 1000 for r in got)
+
+
 def test_packing_of_texts_nulls_and_nothing(make):
     docs = make("documents", {"doc_id": 1, "text": "one two three"}, {"doc_id": 2, "text": None}, {"doc_id": 3, "text": ""}, {"doc_id": 4, "text": "word " * 5000}, {"doc_id": 5, "text": "<|endoftext|>"}, {"text": "x"}).withColumn("tokens", F.lit(0)).withColumn("part", F.lit(0))
     rows = packing.containers(docs, capacity=100).collect()
