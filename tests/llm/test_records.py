@@ -122,6 +122,54 @@ def test_better_supported_text_wins(make):
     assert got == [(1, "abstract", "2")]
 
 
+def test_cut_texts_vote_only_for_what_they_begin(make):
+    """Three cut texts that share 24 letters with the doubly supported text and then differ from it don't overturn it."""
+    other = WHOLE.replace("between 2004 and 2010", "from 2004 on in the whole of the northern district")
+    rows = [{"rec_id": 1, "abstract": other, "source_api": "a"}, {"rec_id": 2, "abstract": WHOLE, "source_api": "b"}, {"rec_id": 3, "abstract": WHOLE, "source_api": "c"}]
+    cuts = [WHOLE[:38] + f" of the kind {x} that were seen by all of the" for x in ("one", "two", "three")]
+    rows += [{"rec_id": 4 + k, "abstract": c, "source_api": "de"[k % 2]} for k, c in enumerate(cuts)]
+    got = values(survivor.found(make("recs", *[r | {"pmid": "90000001"} for r in rows])).filter("field = 'abstract'"))
+    assert got == [(1, "abstract", "2")]
+    more = [{"rec_id": 10 + k, "abstract": other[:90] + "<jats", "source_api": x} for k, x in enumerate("fgh")]
+    got = values(survivor.found(make("recs", *[r | {"pmid": "90000001"} for r in rows + more])).filter("field = 'abstract'"))
+    assert got == [(1, "abstract", "1")]  # now four begin the other one
+
+
+def test_reliability_decides_between_single_claims(make):
+    """Two texts with one claim each: the catalogue that is right elsewhere wins, though its text is shorter and its row later."""
+    texts = [WHOLE.replace("419", str(100 + g)) for g in range(9)]
+    rows = []
+    for g in range(8):
+        wrong = texts[g].replace("34%", "35%") + " This sentence was added by a catalogue that is wrong."
+        rows += [{"rec_id": 10 * g + 1, "abstract": wrong, "source_api": "bad"}, {"rec_id": 10 * g + 2, "abstract": texts[g], "source_api": "good"}]
+        rows += [{"rec_id": 10 * g + 3, "abstract": texts[g], "source_api": "third"}] if g < 7 else []
+        for r in rows[-3 if g < 7 else -2 :]:
+            r["pmid"] = f"9000001{g}"
+            r["title"] = f"Title {g}"
+    groups = components.groups(make("recs", *rows))
+    out = survivor.discover(survivor.members(make("recs", *rows), groups))
+    got = {r["group_id"]: r["rec_id"] for r in out.chosen.filter("field = 'abstract'").collect()}
+    weight = {r["catalogue"]: r["weight"] for r in out.weights.collect()}
+    assert got == {10 * g + 1: 10 * g + 2 for g in range(8)} and weight["bad"] < weight["good"] and out.converged
+
+
+def test_competing_counts_and_members_of_sets(make):
+    rows = [{"rec_id": 1, "citations": 7, "source_api": "a+b", "found_by": ["x"]}, {"rec_id": 2, "citations": 7, "source_api": "B"}, {"rec_id": 3, "citations": 9, "source_api": "c", "found_by": ["y", "x", ""]}, {"rec_id": 4, "citations": -1, "found_by": ["z"]}]
+    out = survivor.discover(survivor.members(make("recs", *[r | {"pmid": "90000001"} for r in rows])))
+    got = {(r["field"], r["value"]) for r in out.chosen.collect()}
+    assert got == {("citations", "9"), ("source_api", "a"), ("source_api", "b"), ("source_api", "c"), ("found_by", "x"), ("found_by", "y"), ("found_by", "z")}
+    weight = {r["catalogue"]: r["weight"] for r in out.weights.collect()}
+    assert weight["c"] > weight["a"] > 0.5  # its count is the newest
+
+
+def test_an_abstract_in_many_unlinked_groups_is_kept_and_a_notice_in_ten_is_not(make):
+    notice = "The text that belongs here was taken down at the wish of its publisher and will be put back as soon as all rights to it are cleared with the heirs of its many authors in all of the countries that are concerned by this."
+    rows = [{"rec_id": 10 * g + k, "pmid": f"900000{g:02d}", "title": "One and the same work.", "abstract": WHOLE if k == 0 else None} for g in range(1, 5) for k in range(2)]
+    rows += [{"rec_id": 1000 + 10 * g + k, "pmid": f"900001{g:02d}", "title": f"Work number {g}", "abstract": notice if k == 0 else None} for g in range(1, 11) for k in range(2)]
+    got = values(survivor.found(make("recs", *rows)).filter("field = 'abstract'"))
+    assert got == sorted([(10 * g, "abstract", str(10 * g)) for g in range(1, 5)], key=repr)
+
+
 def test_notices_are_no_abstracts(make):
     notice = "An abstract is not available for this content. Please use the link above to order a copy from the desk of the publisher."
     rows = [{"rec_id": 10 * g + k, "pmid": f"9000000{g}", "abstract": notice if k == 0 else None} for g in range(1, 6) for k in range(2)]
