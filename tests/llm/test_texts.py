@@ -58,6 +58,52 @@ def test_repeated_keys_and_sources(make):
     assert truncation.found(make("recs"), make("evidence"), make("sources")).count() == 0
 
 
+def planted(make):
+    """Texts of one source cut at 200 characters in mid-sentence, some of them exactly at a full stop, beside whole texts of all lengths; and the keys cut at a full stop."""
+    r = random.Random(5)
+    word = lambda n=0: "".join(r.choice("abcdefghij") for _ in range(n or r.randrange(3, 9)))
+    prose = lambda: " ".join(word() for _ in range(90)).capitalize()
+    rows = [{"rec_id": i, "source_api": "s2", "abstract": prose()[:195] + word(5)} for i in range(60)]
+    rows += [{"rec_id": 100 + i, "source_api": "s2", "abstract": prose()[:193] + word(6) + "."} for i in range(12)]
+    rows += [{"rec_id": 1000 + i, "source_api": "s2", "abstract": prose()[: r.randrange(60, 400)].strip() + "."} for i in range(400)]
+    rows += [{"rec_id": 2000 + i, "source_api": "x", "abstract": prose()[:193] + word(6) + "."} for i in range(12)]
+    return make("recs", *rows), set(range(60)), set(range(100, 112))
+
+
+def test_limits_decide_where_endings_cannot(make):
+    recs, stopped, at_stop = planted(make)
+    texts = truncation.texts_of(recs, make("evidence"), make("sources"))
+    rows = truncation.measured(texts)
+    limit = truncation.limits(rows)
+    found = {int(k) for _, k in values(truncation.cut_keys(rows, limit))}
+    without = {int(k) for _, k in values(truncation.cut_keys(rows, limit.limit(0)))}
+    assert stopped | at_stop <= found and without & at_stop == set() and stopped <= without
+    natural = found - stopped - at_stop
+    assert len(natural) <= 4 and not {k for k in natural if k >= 2000}  # whole texts of just that length can't be told from cut ones
+    got = {(r["tab"], r["catalogue"]): r for r in truncation.shares(recs, make("evidence"), make("sources")).collect()}
+    assert got[("recs", "s2")]["limits"] == "characters 200" and got[("recs", "x")]["limits"] is None
+    assert got[("recs", "s2")]["cut_texts"] == len(found) and got[("recs", "s2")]["texts"] == 472 and got[("recs", "x")]["cut_texts"] == 0
+
+
+def test_shares_against_brute_force(spark):
+    recs, evidence, sources = (spark.read.parquet(str(DATA / f"{t}.parquet")) for t in ("recs", "evidence", "sources"))
+    found = {(r["tab"], r["row_key"]) for r in truncation.found(recs, evidence, sources).collect()}
+    api = {}
+    for r in sources.select("id", "source_api").collect():
+        api.setdefault(r["id"], []).append(r["source_api"])
+    clean = lambda x: sorted({p.strip() for p in x.lower().split("+")}) if x else ["unknown"]
+    keys = {("recs", str(r["rec_id"])): (clean(r["source_api"]), r["abstract"]) for r in recs.collect()}
+    held, cut = {}, {}
+    endings = {(r["tab"], r["row_key"]) for r in truncation.measured(truncation.texts_of(recs, evidence, sources)).filter("ending is not null").collect()}
+    for (tab, key), (names, _) in keys.items():
+        if (tab, key) in endings:
+            for n in names:
+                held[n] = held.get(n, 0) + 1
+                cut[n] = cut.get(n, 0) + ((tab, key) in found)
+    got = {r["catalogue"]: (r["texts"], r["cut_texts"]) for r in truncation.shares(recs, evidence, sources).filter("tab = 'recs'").collect()}
+    assert got == {n: (held[n], cut[n]) for n in held}
+
+
 def check_packing(rows, sizes, capacity):
     parts, fill = {}, {}
     for r in rows:
