@@ -42,6 +42,15 @@ def test_numbers_of_itself_are_never_missing(one):
     assert one(text.numbers_in, s) == ["12.5%", "40", "2019", "1024"]
 
 
+@pytest.mark.parametrize(
+    "s, figures",
+    [("see §5.2 and § 7", ["5.2", "7"]), ("as x§5.2 says", []), ("in section 5.2, figure 3 and p. 9", []), ("about 3 of (fig. 4)", ["3"]), ("chapters 5", ["5"])],
+)
+def test_numbers_of_places(one, s, figures):
+    """A sign § counts as the name of a place only right behind a word character."""
+    assert one(text.numbers_in, s) == [f for f in figures]
+
+
 def test_null_text_has_no_numbers(one):
     assert one(text.numbers_in, None) == []
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions.text import tokens
-from vellum.operators import nested, review, rules, similarity
+from vellum.operators import nested, review, similarity
 from vellum.operators.ranking import global_row_number
 from vellum.operators.skew import salted_lookup
 from vellum.sources.pages import CataloguePages
@@ -74,27 +74,6 @@ def test_funnel_of_empty_tables(make):
     assert row["identified"] == row["screened"] == row["unscreened"] == 0
 
 
-def test_every_rule_runs_on_empty_tables(spark, make):
-    from vellum.plans.views import Ledger
-
-    class Empty(Ledger):
-        def __getattr__(self, name):
-            if name.startswith("_"):
-                raise AttributeError(name)
-            return make(name)
-
-    checks = {r["check"] for r in rules.audit(Empty(spark, "nowhere")).collect()}
-    assert checks <= {"no-search-log"}
-
-
-def test_modes_change_severity(spark):
-    from vellum.plans.views import Ledger
-
-    t = Ledger(spark, str(DATA))
-    assert {r[0] for r in rules.RULES["figure-from-abstract"](t, "quick").select("severity").distinct().collect()} <= {"warn"}
-    assert rules.RULES["abstract-only-in-systematic"](t, "systematic").count() >= 0
-
-
 def test_similarity_join_equals_brute_force(spark):
     r = random.Random(3)
     base = [[f"w{r.randrange(40)}" for _ in range(r.randrange(3, 14))] for _ in range(60)]

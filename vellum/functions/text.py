@@ -22,7 +22,7 @@ def numbers_in(text: Column) -> Column:
     Null and empty texts have none.
     """
     s = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\[(?:S|E|CL|V|C)\d+\]", " ")
-    s = F.regexp_replace(s, r"(?i)(?<![A-Za-z0-9_])(?:table|figure|fig|section|§|p|pp|chapter|ref)\.?\s*\d+(?:\.\d+)*", " ")
+    s = F.regexp_replace(s, vocab.NUMBERED_PLACE, " ")
     s = F.regexp_replace(s, r",(?=\d{3}(?!\w))", "")
     s = F.lower(F.regexp_replace(s, r"(?i)\s*(?:percent|per cent|pct\.?)", "%"))
     return F.transform(F.regexp_extract_all(s, F.lit(r"(?<![\p{L}\d._-])\d+(?:\.\d+)?(?:\s*%)?"), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", ""))
@@ -126,9 +126,7 @@ def has_figure(paragraph: Column) -> Column:
 def memory_refusal(text: Column) -> Column:
     """Whether a short answer declines to remember anything."""
     t = F.trim(F.regexp_replace(F.lower(text), "[.!…]+$", ""))
-    patterns = (r"^(no|nope|nah|none|nothing|not)\b", r"^(don'?t|do not)\s+(bother|worry|save|store|remember)", r"^(skip|pass|forget)\s+(it|this|that|for now)", r"^(maybe|another)\s+(later|time|next time)", r"^(thôi|thoi|khỏi|khoi|không|khong|ko|chưa|chua)\b")
-    short = F.length(t) <= 30
     declined = F.lit(False)
-    for p in patterns:
-        declined = declined | t.rlike("(?i)" + p)
-    return t.isin(*vocab.BLANK_ENTRIES) | short & declined
+    for p in vocab.REFUSALS:
+        declined = declined | t.rlike(p)
+    return t.isin(*vocab.BLANK_ENTRIES) | (F.length(t) <= vocab.REFUSAL_CHARS) & declined

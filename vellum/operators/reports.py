@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -57,3 +57,37 @@ def capped(entries: DataFrame, per_kind: int = vocab.MEMORY_PER_KIND, total: int
     some = entries.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= per_kind)
     w = W.partitionBy(owner).orderBy(F.desc("date"), "line")
     return some.withColumn("place", F.row_number().over(w).cast("bigint")).filter(F.col("place") <= total).drop("rk")
+
+
+#: How a report's block of counts begins and ends; its payload is a JSON object between the opening mark and the next comment end.
+COUNTS_OPEN, COUNTS_CLOSE = "<!-- counts v1", "<!-- /counts -->"
+
+
+def counts_block(payload: Column) -> Column:
+    """The block that a report carries, around a JSON object of counts."""
+    return F.concat(F.lit(COUNTS_OPEN + "\n"), payload, F.lit("\n-->\n" + COUNTS_CLOSE))
+
+
+def counts_findings(reports: DataFrame, truth: DataFrame, opens: str = COUNTS_OPEN, closes: str = COUNTS_CLOSE) -> DataFrame:
+    """``(severity, check, subject)`` of each report's block of counts against ``truth (key, n)``; only the keys it declares are compared.
+
+    A report without a block, a block without its end mark, a payload that is no JSON object, a key that isn't known, a count that differs.  Only the first block
+    counts; null texts have none.  A declared value that is no number differs from any count.
+    """
+    text = F.coalesce("text", F.lit(""))
+    at = F.locate(opens, text)
+    after = F.expr("substring(t, a)")
+    rows = reports.select("doc_id", text.alias("t"), at.alias("a"))
+    rows = rows.select("doc_id", "a", after.alias("rest"))
+    payload = F.trim(F.regexp_replace(F.substring_index(F.expr(f"substring(rest, {len(opens) + 1})"), "-->", 1), r"^\s+|\s+$", ""))
+    fields = F.expr("try_cast(try_parse_json(payload) as map<string,string>)")
+    rows = rows.select("doc_id", "a", (F.locate(closes, F.col("rest")) > 0).alias("closed"), payload.alias("payload")).withColumn("declared", F.when(F.col("a") > 0, fields))
+    finding = lambda df, severity, check, subject: df.select(F.lit(severity).alias("severity"), F.lit(check).alias("check"), subject.alias("subject"))
+    doc = F.col("doc_id").cast("string")
+    out = finding(rows.filter("a = 0"), "warn", "no-stats-block", doc)
+    out = out.unionByName(finding(rows.filter("a > 0 and not closed"), "error", "stats-block-unterminated", doc))
+    out = out.unionByName(finding(rows.filter("a > 0 and declared is null"), "error", "stats-block-unparseable", doc))
+    each = rows.select("doc_id", F.explode("declared").alias("key", "value")).join(truth.select("key", "n"), "key", "left")
+    named = F.concat_ws(">", doc, "key")
+    out = out.unionByName(finding(each.filter("n is null"), "warn", "stats-block-unknown-key", named))
+    return out.unionByName(finding(each.filter("n is not null and not coalesce(try_cast(value as double) = n, false)"), "error", "stats-block-stale", named))

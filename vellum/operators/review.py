@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import present
+from .skew import salted_lookup
 
 
 def clean_verdict(verdict: Column) -> Column:
@@ -78,13 +79,36 @@ def exclusions(latest: DataFrame, reviewer: str = "pass1") -> DataFrame:
     return p.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exclude_streaks(screening: DataFrame) -> DataFrame:
-    """``(reviewer, longest)``: the longest run of consecutive excludes in each reviewer's log, by gaps and islands."""
-    rows = screening.filter("reviewer is not null").select("reviewer", "seq", F.coalesce(clean_verdict(F.col("verdict")) == "exclude", F.lit(False)).alias("x"))
-    w = W.partitionBy("reviewer").orderBy("seq")
-    island = rows.withColumn("island", F.row_number().over(w) - F.sum(F.col("x").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    runs = island.filter("x").groupBy("reviewer", "island").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy("reviewer").agg(F.max("n").alias("longest"))
+def exclude_streaks(screening: DataFrame, part_rows: int = 100_000) -> DataFrame:
+    """``(reviewer, longest)``: the longest run of consecutive excludes in each reviewer's log.
+
+    A reviewer's log is cut into stretches of ``seq``, as many as the counted rows need, so that no task holds the whole log of one.
+    Each stretch gives its number of rows, the run at its head, the run at its tail and its longest run; runs that cross stretches are put
+    together from these few rows.  Rows of equal ``seq`` are ordered by their verdict, others before excludes; rows without a reviewer or ``seq`` are left out.
+    """
+    x = F.coalesce(clean_verdict(F.col("verdict")) == "exclude", F.lit(False))
+    rows = screening.filter("reviewer is not null and seq is not null").select("reviewer", "seq", x.alias("x"))
+    held = rows.groupBy("reviewer").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"))
+    wide = held.select("reviewer", "n", "low", F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / part_rows))).cast("bigint").alias("width"))
+    part = F.floor((F.col("seq") - F.col("low")) / F.col("width"))
+    rows = salted_lookup(rows, wide, ["reviewer"], "seq", counted="n").select("reviewer", "seq", "x", part.alias("part"))
+    w = W.partitionBy("reviewer", "part").orderBy("seq", "x")
+    run = F.row_number().over(w) - F.sum(F.col("x").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
+    # ``run`` counts the rows before that are no excludes: 0 at the head of the stretch, all of them at its tail
+    islands = rows.withColumn("run", run).groupBy("reviewer", "part", "run").agg(F.count_if("x").alias("n"), F.count_if(~F.col("x")).alias("others"))
+    ends = islands.groupBy("reviewer", "part").agg(
+        F.sum("others").alias("others"), F.max("n").alias("longest"), F.max(F.when(F.col("run") == 0, F.col("n")).otherwise(0)).alias("head"), F.max_by("n", "run").alias("tail"),
+    )
+    # a run across stretches: the tail of one, all stretches without another verdict after it, the head of the next
+    w = W.partitionBy("reviewer").orderBy("part")
+    ends = ends.withColumn("chain", F.sum((F.col("others") > 0).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    pieces = ends.select("reviewer", "longest", F.explode(F.array(
+        F.struct(F.coalesce("chain", F.lit(0)).alias("chain"), F.col("head").alias("n")),
+        F.struct((F.coalesce("chain", F.lit(0)) + 1).alias("chain"), F.when(F.col("others") > 0, F.col("tail")).otherwise(0).alias("n")),
+    )).alias("p"))
+    chains = pieces.groupBy("reviewer", "p.chain").agg(F.sum("p.n").alias("n"), F.max("longest").alias("longest"))
+    longest = chains.groupBy("reviewer").agg(F.greatest(F.max("n"), F.max("longest")).alias("longest"))
+    return longest.filter("longest > 0")
 
 
 def saturation(events: DataFrame, key: Column, round_: Column) -> DataFrame:

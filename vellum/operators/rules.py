@@ -34,12 +34,6 @@ def rule(check: str, severity: str | Column):
     return add
 
 
-def _cited(t) -> DataFrame:
-    """Claims joined to the evidence they cite and its source's state."""
-    ids = t.claims.select(F.col("id").alias("claim"), "consensus", F.explode("evidence").alias("eid"))
-    return ids.join(t.ev.select(F.col("id").alias("eid"), "score", "source"), "eid")
-
-
 def _on(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(old).alias(new) for new, old in names.items()])
 
@@ -51,12 +45,12 @@ def _(t, mode):
 
 @rule("claim-on-weak-evidence", WARN)
 def _(t, mode):
-    return _cited(t).filter(F.col("score") < vocab.CITE_SCORE).select(F.col("claim").alias("subject")).distinct()
+    return t.cited.filter(F.col("score") < vocab.CITE_SCORE).select(F.col("claim").alias("subject")).distinct()
 
 
 @rule("overstated-consensus", ERROR)
 def _(t, mode):
-    n = _cited(t).groupBy("claim").agg(F.countDistinct("source").alias("n"))
+    n = t.cited.groupBy("claim").agg(F.countDistinct("source").alias("n"))
     rows = t.claims.join(n.withColumnRenamed("claim", "id"), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     strong = F.col("consensus") == "strong"
     return rows.filter(strong & (F.col("n") < 3) | ~strong & (F.col("n") == 1) & ~F.col("consensus").isin("thin", "absent")).select(F.col("id").alias("subject"))
@@ -64,14 +58,14 @@ def _(t, mode):
 
 @rule("possible-shared-authorship", WARN)
 def _(t, mode):
-    rows = _cited(t).filter(F.col("consensus").isin("strong", "moderate")).select("claim", "source").distinct()
+    rows = t.cited.filter(F.col("consensus").isin("strong", "moderate")).select("claim", "source").distinct()
     keys = t.sources.select(F.col("id").alias("source"), F.explode("authors").alias("a")).select("source", author_key(F.col("a")).alias("author")).filter("author is not null").distinct()
     return rows.join(keys, "source").groupBy("claim", "author").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(F.col("claim").alias("subject")).distinct()
 
 
 @rule("single-venue-consensus", WARN)
 def _(t, mode):
-    rows = _cited(t).filter(F.col("consensus").isin("strong", "moderate")).select("claim", "source").distinct()
+    rows = t.cited.filter(F.col("consensus").isin("strong", "moderate")).select("claim", "source").distinct()
     venue = t.sources.select(F.col("id").alias("source"), "rec_id").join(t.recs.select("rec_id", "venue"), "rec_id").filter(present(F.col("venue")))
     g = rows.join(venue.select("source", "venue"), "source").groupBy("claim").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("venue").alias("v"))
     return g.filter("n >= 3 and v = 1").select(F.col("claim").alias("subject"))
@@ -79,12 +73,12 @@ def _(t, mode):
 
 @rule("cited-but-unread", ERROR)
 def _(t, mode):
-    return _cited(t).join(t.sources.filter("read_at is null").select(F.col("id").alias("source")), "source").select(F.concat_ws(">", "claim", "eid", "source").alias("subject"))
+    return t.cited.join(t.sources.filter("read_at is null").select(F.col("id").alias("source")), "source").select(F.concat_ws(">", "claim", "eid", "source").alias("subject"))
 
 
 @rule("cited-but-not-included", WARN)
 def _(t, mode):
-    known = _cited(t).join(_on(t.sources, source="id"), "source", "left_semi")
+    known = t.cited.join(_on(t.sources, source="id"), "source", "left_semi")
     return known.join(_on(t.included, source="id"), "source", "left_anti").select(F.concat_ws(">", "claim", "eid", "source").alias("subject"))
 
 
@@ -160,7 +154,7 @@ def _(t, mode):
 @rule("abstract-only-in-systematic", WARN)
 def _(t, mode):
     rows = t.sources.filter("read_scope = 'abstract'").join(t.included, "id", "left_semi").select(F.col("id").alias("subject"))
-    return rows if mode == "systematic" else rows.limit(0)
+    return rows.filter(F.lit(mode == "systematic"))
 
 
 @rule("matrix-hole", WARN)

@@ -66,3 +66,29 @@ def folded(items: DataFrame, words: Column, same: float, near: float) -> DataFra
     table = classes.join(groups, "class_id", "left").join(ends.groupBy("class_id").agg(F.sum("m").alias("near")), "class_id", "left")
     table = table.select("k", "members", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("near", F.lit(0)).alias("near"))
     return salted_lookup(sets.select("id", "k"), table, ["k"], "id", counted="members").select("id", "group_id", "near")
+
+
+def like_any(items: DataFrame, stored: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``(id)`` of ``items (id, words)`` at least that similar to some row of ``stored (words)``; arrays of distinct words, empty ones match nothing.
+
+    Equal sets on either side are one class.  A class can only be similar to another if their prefixes of n - ceil(t n) + 1 words share a word, in an order that
+    puts the words rare among the stored first; candidates are joined on those words and compared by their whole sets.
+    """
+    scratch = Scratch(items.sparkSession, "like_any")
+
+    def classes(rows: DataFrame) -> DataFrame:
+        return rows.select(F.array_sort("words").alias("words")).filter(F.size("words") > 0).distinct().select(F.md5(F.array_join("words", " ")).alias("k"), "words")
+
+    new = scratch.keep(items.select("id", F.array_sort("words").alias("words")).filter(F.size("words") > 0).select("id", F.md5(F.array_join("words", " ")).alias("k"), "words"))
+    a, b = scratch.keep(classes(new)), scratch.keep(classes(stored))
+    df = scratch.keep(b.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")))
+
+    def prefixes(side: DataFrame) -> DataFrame:
+        each = side.select("k", F.size("words").alias("n"), F.explode("words").alias("w"))
+        ranked = salted_lookup(each, df, ["w"], "k", "left").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
+        return ranked.select("k", "n", F.explode(F.slice("ws", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))).alias("x")).select("k", "n", "x.w")
+
+    x, y = prefixes(a), prefixes(b).select(F.col("k").alias("k2"), F.col("n").alias("n2"), "w")
+    pairs = x.join(y, "w").filter(F.least("n", "n2") >= threshold * F.greatest("n", "n2") - 1e-9).select("k", "k2").distinct()
+    both = pairs.join(a.select("k", F.col("words").alias("ua")), "k").join(b.select(F.col("k").alias("k2"), F.col("words").alias("ub")), "k2").withColumn("both", F.size(F.array_intersect("ua", "ub")))
+    return new.select("id", "k").join(both.filter(_similar(threshold)).select("k").distinct(), "k", "left_semi").select("id")

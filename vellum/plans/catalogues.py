@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import identity
 from ..functions.text import clean_abstract, from_inverted_index
-from ..operators import catalogue
+from ..operators import catalogue, resolution
 from .views import Ledger
 
 THIS_YEAR = 2026
@@ -203,16 +203,54 @@ def source_ingest(t: Ledger) -> DataFrame:
     return t.recs.select("rec_id", F.coalesce("kind", F.lit("unknown")).alias("kind"), F.coalesce("source_api", F.lit("manual")).alias("source_api"), F.coalesce("year", F.expr("try_cast(substring(metadata_at, 1, 4) as int)")).alias("year"), F.nullif("metadata_at", F.lit("")).alias("metadata_at"), F.lit("unclear").alias("interest_disclosure"), by.alias("found_by"))
 
 
-@query("SELECT a.id, r.rec_id, coalesce(a.year, r.year) AS year, r.doi FROM sources a JOIN recs r ON r.rec_id = a.rec_id")
+_KEYED = f"""(SELECT {{owner}}, CAST(i AS INTEGER) AS rank, key FROM (SELECT {{owner}}, generate_subscripts(ks, 1) - 1 AS i, unnest(ks) AS key FROM (SELECT {{owner}}, ['doi:' || {_DOI.format('doi')}, 'pmid:' || nullif(trim(pmid), ''), 'arxiv:' || {_ARX.format('arxiv')}, 'oa:' || nullif(trim(openalex), ''),
+ 'url:' || nullif(lower(regexp_replace(url, '(?s)[#?].*$', '')), ''), 'title:' || CASE WHEN length(lt) > 15 THEN lt || '|' || coalesce(CAST(year AS VARCHAR), '?') END] AS ks
+ FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) AS lt FROM {{rows}}))) WHERE regexp_matches(key, '{resolution.USABLE}'))"""
+_LINKS = """e AS (SELECT k.rec_id AS a, m.low AS b FROM {keys} k JOIN (SELECT key, min(rec_id) AS low FROM {keys} GROUP BY 1 HAVING count(*) > 1) m USING (key) WHERE k.rec_id <> m.low),
+ both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT rec_id AS id, rec_id AS low FROM {ids} UNION SELECT w.b, r.low FROM r JOIN both_ways w ON w.a = r.id WHERE r.low < w.b),
+ g AS (SELECT id AS rec_id, min(low) AS group_id FROM r GROUP BY 1)"""
+_RESOLVED = f"WITH RECURSIVE mk AS MATERIALIZED (SELECT * FROM ({ORACLES['dedup_keys']}) WHERE regexp_matches(key, '{resolution.USABLE}')), " + _LINKS.format(keys="mk", ids="recs")
+
+
+@query(_RESOLVED + " SELECT rec_id, group_id FROM g")
+def dedup_resolve(t: Ledger) -> DataFrame:
+    """The entity of each record: the smallest record that it shares one of seven keys with, directly or through others."""
+    return resolution.resolve(t.recs)
+
+
+@query(_RESOLVED + """ SELECT group_id, count(*) AS rows, arg_min(title, rec_id) FILTER (title <> '') AS title, arg_min(venue, rec_id) FILTER (venue <> '') AS venue, arg_min(year, rec_id) FILTER (year IS NOT NULL) AS year, arg_min(doi, rec_id) FILTER (doi <> '') AS doi,
+ coalesce(max(len(authors)), 0) AS n_authors, nullif(greatest(max(coalesce(citations, 0)), 0), 0) AS citations, len(list_distinct(flatten(list(coalesce(found_by, []))))) AS n_queries FROM recs JOIN g USING (rec_id) GROUP BY 1""")
+def dedup_records(t: Ledger) -> DataFrame:
+    """One merged record per entity."""
+    m = catalogue.merged(t.recs.join(resolution.resolve(t.recs), "rec_id"), "group_id")
+    return m.select("group_id", "rows", "title", "venue", "year", "doi", F.greatest(F.coalesce(F.size("authors"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_authors"), "citations", F.size("found_by").cast("bigint").alias("n_queries"))
+
+
+_BY = "len(list_distinct(list_filter({0}, lambda x: x <> '')))"
+_FIRSTS = "arg_min(year, rec_id) FILTER (year IS NOT NULL) AS year, arg_min(venue, rec_id) FILTER (venue <> '') AS venue, arg_min(doi, rec_id) FILTER (doi <> '') AS doi, flatten(list(coalesce(found_by, []))) AS fb"
+
+
+@query(f"""WITH RECURSIVE held AS (SELECT s.id, s.title, s.year, r.doi, r.pmid, r.arxiv, r.openalex, r.url, r.venue, r.found_by FROM sources s LEFT JOIN recs r ON r.rec_id = s.rec_id),
+ fresh AS (SELECT * FROM recs WHERE rec_id NOT IN (SELECT rec_id FROM sources WHERE rec_id IS NOT NULL)), nk AS MATERIALIZED {_KEYED.format(owner='rec_id', rows='fresh')},
+ ix AS (SELECT key, max(id) AS id FROM {_KEYED.format(owner='id', rows='held')} GROUP BY 1), hit AS MATERIALIZED (SELECT rec_id, arg_min(ix.id, rank) AS id FROM nk JOIN ix USING (key) GROUP BY 1),
+ lone AS MATERIALIZED (SELECT * FROM fresh WHERE rec_id NOT IN (SELECT rec_id FROM hit)), lk AS MATERIALIZED (SELECT DISTINCT rec_id, key FROM nk WHERE rec_id NOT IN (SELECT rec_id FROM hit)), {_LINKS.format(keys='lk', ids='lone')},
+ m AS (SELECT hit.id, count(*) AS records, {_FIRSTS} FROM fresh JOIN hit USING (rec_id) GROUP BY 1), n AS (SELECT group_id, count(*) AS records, {_FIRSTS} FROM lone JOIN g USING (rec_id) GROUP BY 1)
+ SELECT h.id, CASE WHEN m.id IS NULL THEN 'kept' ELSE 'merged' END AS action, coalesce(records, 0) AS records, coalesce(h.year, m.year) AS year, coalesce(nullif(h.venue, ''), m.venue) AS venue, coalesce(nullif(h.doi, ''), m.doi) AS doi, {_BY.format("list_concat(coalesce(h.found_by, []), coalesce(m.fb, []))")} AS n_queries FROM held h LEFT JOIN m USING (id)
+ UNION ALL SELECT 'S' || lpad(CAST((SELECT max(CAST(substr(id, 2) AS BIGINT)) FROM sources) + row_number() OVER (ORDER BY group_id) AS VARCHAR), 9, '0'), 'added', records, year, venue, doi, {_BY.format("fb")} FROM n""")
 def source_upsert(t: Ledger) -> DataFrame:
-    """Ledger sources filled from the records they stand for; what is there is kept."""
-    r = t.recs.select("rec_id", F.col("year").alias("ry"), "doi")
-    return t.sources.join(r, "rec_id").select("id", "rec_id", F.coalesce("year", "ry").alias("year"), "doi")
+    """The ledger's sources after the records that none stands for came in: matched by key, filled and united, or added."""
+    return resolution.upsert(t.sources, t.recs)
+
+
+_CACHE = "(" + ORACLES["cache_key"] + ")"
 
 
-@query("SELECT id, s.title IS NOT NULL AND s.cache_chars >= 200 AS hit, s.cache_chars FROM sources s WHERE rec_id IS NOT NULL")
+@query(f"SELECT k.rec_id, k.key, coalesce(chars >= {vocab.MIN_CACHED_CHARS}, false) AS hit, chars FROM {_CACHE} k LEFT JOIN (SELECT key, max(cache_chars) AS chars FROM sources s JOIN {_CACHE} c ON c.rec_id = s.rec_id WHERE cache_chars > 0 AND key IS NOT NULL GROUP BY 1) x USING (key)")
 def cache_hit(t: Ledger) -> DataFrame:
-    return t.sources.filter("rec_id is not null").select("id", (F.col("title").isNotNull() & (F.col("cache_chars") >= vocab.MIN_CACHED_CHARS)).alias("hit"), "cache_chars")
+    """Each record's cache entry, found by its key: what was cached for any record with the same key counts, if it is long enough."""
+    keys = t.recs.select("rec_id", identity.cache_key(*[F.col(c) for c in ("doi", "pmcid", "pmid", "arxiv", "openalex", "url", "title", "year")]).alias("key"))
+    entries = t.sources.filter("cache_chars > 0").select("rec_id", F.col("cache_chars").alias("chars")).join(keys, "rec_id").select("key", "chars")
+    return resolution.cache_lookup(keys, entries, vocab.MIN_CACHED_CHARS)
 
 
 @query("SELECT id, read_at FROM sources WHERE read_at < (SELECT max(read_at) FROM sources) - INTERVAL 90 DAY")

@@ -90,3 +90,59 @@ def record_envelope(t: Ledger) -> DataFrame:
     rows = t.recs.select((F.col("rec_id") % 4).alias("page"), F.to_json(F.struct("rec_id", "title")).alias("j"))
     back = rows.select("page", F.from_json("j", "rec_id bigint, title string").alias("r"))
     return back.groupBy("page").agg(F.count("r.rec_id").alias("records"), F.sum(F.length(F.coalesce("r.title", F.lit("")))).alias("title_chars"))
+
+
+@query(f"""SELECT severity, "check", doc_id || key AS subject FROM (SELECT doc_id, doc_id % 7 AS d FROM {_REPORTS}) JOIN (SELECT unnest(['no-stats-block', 'stats-block-unterminated', 'stats-block-unparseable', 'stats-block-unknown-key', 'stats-block-stale', 'stats-block-stale']) AS "check", unnest([0, 1, 2, 3, 4, 5]) AS w, unnest(['warn', 'error', 'error', 'warn', 'error', 'error']) AS severity, unnest(['', '', '', '>screens', '>read', '>claims']) AS key) ON d = w""")
+def report_counts(t: Ledger) -> DataFrame:
+    """Findings about the blocks of counts in reports.
+
+    The given reports carry none, so each gets one with the ledger's counts, as it would be pasted in; by the remainder of its number by 7 the block is left out,
+    loses its end mark, is broken, gains a key or has one of two counts changed.
+    """
+    from .review import QUERIES as review_queries
+
+    truth = review_queries["stats_payload"](t.spark, t.folder)
+    held = truth.agg(*[F.max(F.when(F.col("key") == k, F.col("n"))).alias(k) for k in ("identified", "read", "evidence", "claims")])
+    k = F.col("doc_id") % 7
+    rows = _reports(t).crossJoin(F.broadcast(held))  # one row
+    rows = rows.withColumn("read", F.col("read") + F.when(k == 4, 1).otherwise(0)).withColumn("claims", F.col("claims") - F.when(k == 5, 2).otherwise(0))
+    names = ("identified", "read", "evidence", "claims")
+    body = F.when(k == 3, F.to_json(F.struct(*names, F.lit(1).alias("screens")))).otherwise(F.to_json(F.struct(*names)))
+    block = reports.counts_block(F.when(k == 2, F.substring(body, 1, 9)).otherwise(body))
+    block = F.when(k == 1, F.replace(block, F.lit(reports.COUNTS_CLOSE), F.lit(""))).otherwise(block)
+    text = F.when(k == 0, F.col("text")).otherwise(F.concat_ws("\n", "text", block))
+    return reports.counts_findings(rows.select("doc_id", text.alias("text")), truth)
+
+
+_GF = """(SELECT delivery_id AS file, id, 'S' || lpad(CAST(delivery_id * 7 AS VARCHAR), 9, '0') AS lid, list_filter(coalesce(referenced_works, []), lambda x: x IS NOT NULL) AS refs, coalesce(len(list_filter(coalesce(referenced_works, []), lambda x: x IS NOT NULL)), 0) AS n FROM oa_works WHERE delivery_id % 11 <> 0)"""
+
+
+@query(f"""SELECT 'error' AS severity, 'graph-unparseable' AS "check", CAST(delivery_id AS VARCHAR) AS subject FROM oa_works WHERE delivery_id % 11 = 0
+ UNION ALL SELECT 'error', 'graph-node-without-id', file || '>node 0' FROM {_GF} WHERE coalesce(id, '') = ''
+ UNION ALL SELECT 'error', 'graph-edge-endpoint-missing', file || '>edge ' || i || '>source' FROM (SELECT file, unnest(range(n)) AS i FROM {_GF} WHERE coalesce(id, '') = '')
+ UNION ALL SELECT 'error', 'graph-dangling-edge', file || '>edge ' || i || '>' || r FROM (SELECT file, id, unnest(range(n)) AS i, unnest(refs) AS r FROM {_GF}) WHERE r <> '' AND r IS DISTINCT FROM id
+ UNION ALL SELECT 'error', 'graph-edge-endpoint-missing', file || '>edge ' || i || '>target' FROM (SELECT file, unnest(range(n)) AS i, unnest(refs) AS r FROM {_GF}) WHERE r = ''
+ UNION ALL SELECT 'warn', 'graph-count-mismatch', file || '>edges' FROM {_GF} WHERE file % 5 = 0
+ UNION ALL SELECT 'warn', 'graph-without-ledger-id', file || '>edge ' || i FROM (SELECT file, unnest(range(n)) AS i FROM {_GF}) WHERE i % 2 = 1
+ UNION ALL SELECT 'error', 'graph-bad-id', file || '>edge ' || i || '>X1' FROM (SELECT file, unnest(range(n)) AS i FROM {_GF}) WHERE i % 4 = 0
+ UNION ALL SELECT 'error', CASE WHEN s.id IS NULL THEN 'graph-unknown-id' WHEN i.id IS NULL THEN 'graph-excluded-source' ELSE 'graph-unread-source' END, file || '>node 0>' || lid FROM {_GF} g LEFT JOIN sources s ON s.id = lid LEFT JOIN inc i ON i.id = lid WHERE s.id IS NULL OR i.id IS NULL OR s.read_at IS NULL""")
+def graph_file_findings(t: Ledger) -> DataFrame:
+    """Findings about graph files as JSON text.
+
+    Each delivered work is a file here: one node for the work with a ledger id, an edge for each work it refers to; every eleventh file is cut off, every
+    fifth declares an edge too many, odd edges lack ledger ids and every fourth edge lists one in no ledger form.
+    """
+    from ..operators import graphs
+
+    d = F.col("delivery_id")
+    refs = F.filter(F.coalesce("referenced_works", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    edges = F.transform(refs, lambda r, i: F.struct(F.col("id").alias("source"), r.alias("target"), F.when(i % 4 == 0, F.array(F.lit("[x1]"))).when(i % 2 == 0, F.array(F.lit("E000000001"))).otherwise(F.array().cast("array<string>")).alias("ledger_ids")))
+    node = F.struct(F.col("id"), F.array(F.concat(F.lit("S"), F.lpad((d * 7).cast("string"), 9, "0"))).alias("ledger_ids"))
+    count = F.struct(F.lit(1).alias("node_count"), (F.size(refs) + F.when(d % 5 == 0, 1).otherwise(0)).alias("edge_count"))
+    text = F.to_json(F.struct(F.array(node).alias("nodes"), edges.alias("edges"), count.alias("metadata")))
+    files = t.oa_works.select(d.alias("file"), text.alias("text")).withColumn("text", F.when(F.col("file") % 11 == 0, F.substring("text", 1, 30)).otherwise(F.col("text")))
+    known = t.sources.select("id")
+    for df in (t.ev, t.claims, t.verification):
+        known = known.unionByName(df.select("id"))
+    state = t.sources.select("id", F.col("read_at").isNotNull().alias("was_read")).join(t.included.withColumn("included", F.lit(True)), "id", "left")
+    return graphs.file_findings(files, known.distinct(), state)

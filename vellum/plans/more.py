@@ -74,11 +74,10 @@ def entity_alias(t: Ledger) -> DataFrame:
     return t.recs.select("kind").join(table, "kind", "left").groupBy(F.coalesce("canonical", "kind", F.lit("other")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT section, count(DISTINCT source) AS sources, CASE WHEN count(DISTINCT source) >= 3 THEN 'covered' WHEN count(DISTINCT source) > 0 THEN 'thin' ELSE 'empty' END AS state FROM (SELECT unnest(['SQ1', 'SQ2', 'SQ3', 'SQ4', 'SQ5', 'SQ6', 'SQ7', 'SQ8', 'SQ9', 'SQ10']) AS section) LEFT JOIN ev ON question = section GROUP BY 1", True)
+@query("SELECT question AS section, count(DISTINCT source) AS sources, CASE WHEN count(DISTINCT source) >= 3 THEN 'covered' WHEN count(DISTINCT source) > 0 THEN 'thin' ELSE 'empty' END AS state FROM ev WHERE question IS NOT NULL GROUP BY 1", True)
 def outline_coverage(t: Ledger) -> DataFrame:
-    n = t.ev.groupBy(F.col("question").alias("section")).agg(F.countDistinct("source").alias("sources"))
-    sections = t.spark.createDataFrame([(f"SQ{i}",) for i in range(1, 11)], "section string")
-    rows = sections.join(n, "section", "left").select("section", F.coalesce("sources", F.lit(0)).alias("sources"))
+    """Every question of the outline by the number of its sources; records whose source isn't known leave it empty."""
+    rows = t.ev.filter("question is not null").groupBy(F.col("question").alias("section")).agg(F.countDistinct("source").alias("sources"))
     return rows.withColumn("state", F.when(F.col("sources") >= 3, "covered").when(F.col("sources") > 0, "thin").otherwise("empty"))
 
 
@@ -109,12 +108,25 @@ def executor_ingest(t: Ledger) -> DataFrame:
     return parsed.select("d.delivery_id", F.explode("d.authorships").alias("a")).filter("a is not null").select("delivery_id", F.col("a.author.display_name").alias("author"), F.col("a.position_tag").alias("position_tag"))
 
 
-@query(r"SELECT id, CASE WHEN lower(summary) IN ('', 'no', 'none') THEN 'blank' WHEN regexp_matches(summary, '\[(?:S|E|CL|V)\d{2,3}\]') THEN 'cites-ids' WHEN length(summary) > 200 THEN 'too-long' WHEN regexp_matches(summary, '\d+(?:\.\d+)?\s?%') THEN 'has-figure' ELSE 'accept' END AS decision FROM ev WHERE summary IS NOT NULL", True)
+_REFUSED = r"lower(s) IN ({blank}) OR (length(lower(s)) <= 30 AND ({patterns}))".format(
+    blank=", ".join(f"'{b}'" for b in vocab.BLANK_ENTRIES), patterns=" OR ".join("regexp_matches(lower(s), '" + p.replace("'", "''") + "')" for p in vocab.REFUSALS)
+)
+_SAME = f"len(list_intersect(n.w, m.w)) >= {vocab.SAME_ENTRY} * (len(n.w) + len(m.w) - len(list_intersect(n.w, m.w))) - 1e-9"
+
+
+@query(rf"""SELECT id, CASE WHEN blank THEN 'blank' WHEN length(s) > 200 THEN 'too-long' WHEN regexp_matches(s, '\[(?:S|E|CL|V)\d{{2,3}}\]') THEN 'cites-ids' WHEN EXISTS (SELECT 1 FROM m WHERE len(n.w) > 0 AND len(m.w) > 0 AND {_SAME}) THEN 'remembered' ELSE 'accept' END AS decision, regexp_matches(s, '\d+(?:\.\d+)?\s?%') AS has_percentage
+ FROM (SELECT id, s, {_REFUSED.replace("lower(s)", "trim(regexp_replace(lower(s), '[.!…]+$', ''))")} AS blank, {_TOKENS.format('s')} AS w FROM (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(summary, '\s+', ' ', 'g'), '^[-*•\s]+', ''), '\s+([,.;:])', '\1', 'g')) AS s FROM ev WHERE summary IS NOT NULL)) n""".replace(" FROM m ", " FROM (SELECT DISTINCT " + _TOKENS.format("text") + f" AS w FROM {_ENTRIES} WHERE text <> '') m "), True)
 def memory_add_decision(t: Ledger) -> DataFrame:
-    """What the memory would do with each summary, first rule first."""
-    s = F.col("summary")
-    d = F.when(text.memory_refusal(s), "blank").when(s.rlike(r"\[(?:S|E|CL|V)\d{2,3}\]"), "cites-ids").when(F.length(s) > vocab.MEMORY_CHARS, "too-long").when(s.rlike(r"\d+(?:\.\d+)?\s?%"), "has-figure").otherwise("accept")
-    return t.ev.filter("summary is not null").select("id", d.alias("decision"))
+    """What the memory would do with each summary, first rule first: a blank or a refusal, too long, citing ledger ids, already remembered, or accepted.
+
+    Remembered is what some stored entry equals to 0.8 or more in words.  A percentage is only worth a warning.
+    """
+    s = text.normalised(F.col("summary"))
+    rows = t.ev.filter("summary is not null").select("id", s.alias("s"))
+    held = similarity.like_any(rows.select("id", text.tokens(F.col("s")).alias("words")), _entries(t).select(text.tokens(F.col("text")).alias("words")), vocab.SAME_ENTRY)
+    s = F.col("s")
+    d = F.when(text.memory_refusal(s), "blank").when(F.length(s) > vocab.MEMORY_CHARS, "too-long").when(s.rlike(r"\[(?:S|E|CL|V)\d{2,3}\]"), "cites-ids").when(F.col("held"), "remembered").otherwise("accept")
+    return rows.join(held.withColumn("held", F.lit(True)), "id", "left").select("id", d.alias("decision"), s.rlike(r"\d+(?:\.\d+)?\s?%").alias("has_percentage"))
 
 
 @query(f"SELECT id, authors IS NULL OR len(authors) = 0 AS no_authors, year > {AS_OF_YEAR} + 1 AS implausible, coalesce(title, '') = '' AS no_title FROM sources")

@@ -176,18 +176,15 @@ def query_coverage(t: Ledger) -> DataFrame:
     return t.queries.groupBy(F.coalesce("lang", F.lit("unknown")).alias("lang"), "source").agg(F.count(F.lit(1)).alias("n"), F.sum("hits").alias("hits"), F.count_if(F.col("hits") == 0).alias("zero_hits"))
 
 
-@query("SELECT reviewer, max(n) AS longest FROM (SELECT reviewer, g, count(*) AS n FROM (SELECT reviewer, x, row_number() OVER w - sum(CASE WHEN x THEN 1 ELSE 0 END) OVER w AS g FROM (SELECT reviewer, seq, coalesce(lower(regexp_replace(verdict, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) = 'exclude', false) AS x FROM screening WHERE reviewer IS NOT NULL) WINDOW w AS (PARTITION BY reviewer ORDER BY seq)) WHERE x GROUP BY 1, 2) GROUP BY 1", False)
+@query("SELECT reviewer, max(n) AS longest FROM (SELECT reviewer, g, count(*) AS n FROM (SELECT reviewer, x, row_number() OVER w - sum(CASE WHEN x THEN 1 ELSE 0 END) OVER w AS g FROM (SELECT reviewer, seq, coalesce(lower(regexp_replace(verdict, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) = 'exclude', false) AS x FROM screening WHERE reviewer IS NOT NULL AND seq IS NOT NULL) WINDOW w AS (PARTITION BY reviewer ORDER BY seq, x ROWS UNBOUNDED PRECEDING)) WHERE x GROUP BY 1, 2) GROUP BY 1", False)
 def exclude_streak(t: Ledger) -> DataFrame:
     return review.exclude_streaks(t.screening)
 
 
-_KINDS = ["article", "review", "preprint", "report"]
-
-
-@query("SELECT coalesce(interest_disclosure, 'unclear') AS interest, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in _KINDS) + " FROM sources GROUP BY 1", False)
+@query("SELECT coalesce(interest_disclosure, 'unclear') AS interest, coalesce(kind, 'unknown') AS kind, count(*) AS n FROM sources GROUP BY 1, 2", False)
 def interest_crosstab(t: Ledger) -> DataFrame:
-    g = t.sources.groupBy(F.coalesce("interest_disclosure", F.lit("unclear")).alias("interest"))
-    return g.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in _KINDS])
+    """Sources by interest and kind, whatever kinds there are."""
+    return t.sources.groupBy(F.coalesce("interest_disclosure", F.lit("unclear")).alias("interest"), F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT "column", count(*) AS cells, round(count(*) FILTER (lower(value) = 'not reported') / count(*), 6) AS rate FROM (SELECT source, "column", arg_max(value, seq) AS value FROM extraction GROUP BY 1, 2) GROUP BY 1""")
@@ -222,10 +219,11 @@ def outside_window(t: Ledger) -> DataFrame:
     return t.sources.filter(F.col("year") < AS_OF_YEAR - 5).select("id", "year")
 
 
-@query(f"SELECT question, max(s.year) AS newest FROM ev JOIN sources s ON s.id = ev.source WHERE question IS NOT NULL AND s.year <= {AS_OF_YEAR} GROUP BY 1 HAVING max(s.year) < {AS_OF_YEAR} - 1")
+@query(f"SELECT question, max(s.year) AS newest FROM ev JOIN sources s ON s.id = ev.source WHERE question IS NOT NULL AND s.year <= {AS_OF_YEAR} GROUP BY 1 HAVING max(s.year) < {AS_OF_YEAR} - 3")
 def temporal_gap(t: Ledger) -> DataFrame:
+    """Questions whose newest source (of a year that isn't to come) is more than three years old."""
     j = t.ev.filter("question is not null").join(t.sources.select(F.col("id").alias("source"), "year"), "source").filter(F.col("year") <= AS_OF_YEAR)
-    return j.groupBy("question").agg(F.max("year").alias("newest")).filter(F.col("newest") < AS_OF_YEAR - 1)
+    return j.groupBy("question").agg(F.max("year").alias("newest")).filter(F.col("newest") < AS_OF_YEAR - vocab.STALE_YEARS)
 
 
 

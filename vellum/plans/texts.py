@@ -265,18 +265,22 @@ def graph_dangling(t: Ledger) -> DataFrame:
     return graphs.dangling(_nodes(t), _edges(t))
 
 
-_B = f"(SELECT source AS a, target AS b FROM {_E} UNION ALL SELECT target, source FROM {_E})"
+_B = f"(SELECT DISTINCT a, b FROM (SELECT source AS a, target AS b FROM {_E} UNION ALL SELECT target, source FROM {_E}) WHERE a <> b)"
 
 
-@query(f"SELECT x.a AS id, count(DISTINCT l.cluster) AS bridges FROM {_B} x JOIN (SELECT a, least(min(b), a) AS cluster FROM {_B} GROUP BY a) l ON l.a = x.b GROUP BY 1")
+@query(f"""WITH RECURSIVE b AS MATERIALIZED (SELECT * FROM {_B}), d AS (SELECT a, count(*) AS n FROM b GROUP BY 1),
+ up AS (SELECT b.a, arg_min(b.b, (-d.n, b.b)) AS b, max(d.n) AS n FROM b JOIN d ON d.a = b.b GROUP BY 1), p AS (SELECT up.a, up.b FROM up JOIN d USING (a) WHERE up.n > d.n OR (up.n = d.n AND up.b < up.a)),
+ climb AS (SELECT a AS id, a AS place FROM d UNION ALL SELECT c.id, p.b FROM climb c JOIN p ON p.a = c.place), peak AS (SELECT id, place AS cluster FROM climb WHERE place NOT IN (SELECT a FROM p))
+ SELECT id, count(DISTINCT cluster) AS clusters FROM (SELECT b.a AS id, k.cluster FROM b JOIN peak k ON k.id = b.b UNION ALL SELECT id, cluster FROM peak) GROUP BY 1 HAVING count(DISTINCT cluster) >= 2""")
 def graph_bridges(t: Ledger) -> DataFrame:
-    return graphs.two_hop_counts(_edges(t))
+    """Nodes whose edges span two clusters or more; a cluster is what climbs to one locally best connected node."""
+    return graphs.bridges(_edges(t))
 
 
-@query(f"""WITH b AS (SELECT DISTINCT * FROM {_B}), l0 AS (SELECT id, id AS label FROM {_N}), l1 AS (SELECT l.id, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l0 l LEFT JOIN b ON b.a = l.id LEFT JOIN l0 n ON n.id = b.b GROUP BY l.id, l.label),
- l2 AS (SELECT l.id, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l1 l LEFT JOIN b ON b.a = l.id LEFT JOIN l1 n ON n.id = b.b GROUP BY l.id, l.label) SELECT l.id, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l2 l LEFT JOIN b ON b.a = l.id LEFT JOIN l2 n ON n.id = b.b GROUP BY l.id, l.label""")
+@query(f"""WITH RECURSIVE b AS MATERIALIZED (SELECT x.* FROM {_B} x WHERE a IN (SELECT id FROM {_N}) AND b IN (SELECT id FROM {_N})), r AS (SELECT id, id AS low FROM {_N} UNION SELECT b.b, r.low FROM r JOIN b ON b.a = r.id WHERE r.low < b.b)
+ SELECT id, min(low) AS label FROM r GROUP BY 1""")
 def graph_clusters(t: Ledger) -> DataFrame:
-    """Every node with the smallest node of its whole component; the SQL stops after three rounds and splits wider ones."""
+    """Every node with the smallest node of its whole component."""
     return graphs.component_labels(_nodes(t), _edges(t))
 
 
@@ -414,9 +418,15 @@ def chunk_texts(t: Ledger) -> DataFrame:
     return rows.withColumn("rank", rank)
 
 
-@query("""SELECT source, coalesce(max(CASE WHEN "column" = 'SQ1' THEN value END), '—') AS sq1, coalesce(max(CASE WHEN "column" = 'SQ2' THEN value END), '—') AS sq2, coalesce(max(CASE WHEN "column" = 'SQ3' THEN value END), '—') AS sq3 FROM (SELECT source, "column", arg_max(value, seq) AS value FROM extraction GROUP BY 1, 2) GROUP BY 1""", True)
+@query("""WITH RECURSIVE cells AS (SELECT source, "column" AS c, coalesce(arg_max(value, seq), '—') AS value FROM extraction GROUP BY 1, 2), columns AS (SELECT DISTINCT "column" AS c FROM extraction)
+ SELECT source, '| ' || source || ' | ' || string_agg(coalesce(value, '—'), ' | ' ORDER BY c) || ' |' AS line FROM (SELECT DISTINCT source FROM extraction) CROSS JOIN columns LEFT JOIN cells USING (source, c) GROUP BY 1""".replace("WITH RECURSIVE ", ", "), True)
 def extraction_matrix(t: Ledger) -> DataFrame:
-    """Sources by columns; a missing cell is a dash."""
+    """A table line for each source with a cell for every column of the extraction, in order of their names; a missing cell is a dash.
+
+    The columns are one row (an extraction has as many columns as its table is wide), so no source is paired with absent cells.
+    """
     last = t.extraction.groupBy("source", "column").agg(F.max_by("value", "seq").alias("value"))
-    cell = lambda c: F.coalesce(F.max(F.when(F.col("column") == c, F.col("value"))), F.lit("—")).alias(c.lower())
-    return last.groupBy("source").agg(*[cell(f"SQ{i}") for i in (1, 2, 3)])
+    columns = t.extraction.agg(F.array_sort(F.collect_set("column")).alias("columns"))
+    held = last.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("column", F.coalesce("value", F.lit("—")).alias("value")))).alias("cells"))
+    cells = F.transform("columns", lambda c: F.coalesce(F.col("cells")[c], F.lit("—")))
+    return held.crossJoin(F.broadcast(columns)).select("source", F.concat(F.lit("| "), "source", F.lit(" | "), F.array_join(cells, " | "), F.lit(" |")).alias("line"))  # one row

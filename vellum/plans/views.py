@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from .. import vocab
 from ..operators import review
+from ..sources.shared import Scratch
 from ..sources.tables import table
 
 
@@ -51,6 +52,12 @@ class Ledger:
         consensus = F.element_at(F.array(*map(F.lit, vocab.CONSENSUS)), (k % 5 + 1).cast("int"))
         return by.select("k", F.concat(F.lit("CL"), F.lpad(k.cast("string"), 9, "0")).alias("id"), ids.alias("evidence"), consensus.alias("consensus"))
 
+    @cached_property
+    def cited(self) -> DataFrame:
+        """Claims with each piece of evidence they cite that exists: ``(claim, consensus, eid, score, source)``."""
+        ids = self.claims.select(F.col("id").alias("claim"), "consensus", F.explode("evidence").alias("eid"))
+        return ids.join(self.ev.select(F.col("id").alias("eid"), "score", "source"), "eid")
+
     @cached_property
     def verification(self) -> DataFrame:
         k = F.col("k")
@@ -74,6 +81,34 @@ class Ledger:
         return self.ev.filter("source is not null and question is not null").select("source", F.col("question").alias("column"), value.alias("value"), "quote", "locator", n.alias("seq"))
 
 
+class KeptLedger(Ledger):
+    """A ledger for many queries at once: the views that most rules share are written to the shared folder when they are first used."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder)
+        self._scratch = Scratch(spark, "ledger")
+
+    @cached_property
+    def latest(self) -> DataFrame:
+        return self._scratch.keep(Ledger.latest.func(self))
+
+    @cached_property
+    def included(self) -> DataFrame:
+        return self._scratch.keep(Ledger.included.func(self))
+
+    @cached_property
+    def ev(self) -> DataFrame:
+        return self._scratch.keep(Ledger.ev.func(self))
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return self._scratch.keep(Ledger.claims.func(self))
+
+    @cached_property
+    def cited(self) -> DataFrame:
+        return self._scratch.keep(Ledger.cited.func(self))
+
+
 #: The same views in SQL.
 SQL = r"""
 WITH lv AS (

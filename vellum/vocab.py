@@ -23,3 +23,10 @@ BLANK_ENTRIES = ("", "-", "--", "n/a", "na", "no", "none", "nothing", "skip", "n
 CITATION = r"\[((?:S|E|CL)\d+)\]"
 AS_OF = "evidence current as of|bằng chứng cập nhật đến"
 REFERENCES_HEADING = r"##+[ \t]*(?:references|tài liệu tham khảo|bibliography)\b.*"
+#: A number that names a place of a text and asserts nothing.  A word boundary stands before each name; before the sign § that means a word character, so a § after a space keeps its number.
+NUMBERED_PLACE = r"(?i)(?:(?<![A-Za-z0-9_])(?:table|figure|fig|section|p|pp|chapter|ref)|(?<=[A-Za-z0-9_])§)\.?\s*\d+(?:\.\d+)*"
+#: Answers of at most REFUSAL_CHARS characters that decline to remember anything.
+REFUSAL_CHARS = 30
+REFUSALS = (r"^(no|nope|nah|none|nothing|not)\b", r"^(don'?t|do not)\s+(bother|worry|save|store|remember)", r"^(skip|pass|forget)\s+(it|this|that|for now)", r"^(maybe|another)\s+(later|time|next time)", r"^(thôi|thoi|khỏi|khoi|không|khong|ko|chưa|chua)\b")
+#: A question whose newest source is older than this many years has a temporal gap.
+STALE_YEARS = 3
