@@ -235,9 +235,28 @@ def test_stuffed_pages(spark, make):
 
 
 def test_rank_frequency_fit(make):
-    text = " ".join(w for k, w in enumerate("abcdefghij") for _ in range(1 + 40 // (k + 1))) + " tail"
-    row = stuffing.pages(make("documents", {"doc_id": 1, "text": text, "lang": "en"})).first()
-    f = np.array(sorted([1 + 40 // (k + 1) for k in range(10)] + [1], reverse=True))
-    x, y = np.log(np.arange(1, 12)), np.log(f)
+    """Counting, ranks with ties, the fit and the curves against a plain computation."""
+    text = " ".join(w for k, w in enumerate("abcdefghij") for _ in range(1 + 40 // (k + 1))) + " tail <b>end</b>"
+    counts = sorted([1 + 40 // (k + 1) for k in range(10)] + [1, 1], reverse=True)
+    rows = stuffing.counted(make("documents", {"doc_id": 1, "text": text, "lang": "en"}))
+    one = rows.first()
+    assert sorted(one["counts"], reverse=True) == counts and one["n"] == sum(counts) and len(set(one["words"])) == 12
+    row = stuffing.pages(rows).first()
+    rank = np.array([np.mean([i + 1 for i, g in enumerate(counts) if g == f]) for f in counts])
+    x, y = np.log(rank), np.log(counts)
     slope, cut = np.polyfit(x, y, 1)
-    assert row["n"] == f.sum() and row["v"] == 11 and abs(row["slope"] - slope) < 1e-9 and abs(row["residual"] - np.sqrt(((y - cut - slope * x) ** 2).mean())) < 1e-9
+    assert row["v"] == 12 and abs(row["slope"] - slope) < 1e-9 and abs(row["residual"] - np.sqrt(((y - cut - slope * x) ** 2).mean())) < 1e-9
+    assert all(abs(row[f"own{r}"] - sum(counts[:r]) / sum(counts)) < 1e-12 for r in stuffing.RANKS)
+
+
+def test_pages_without_text_shuffle(spark):
+    """Only numbers cross an exchange: nothing after the counting reads a text, and the counting has no exchange."""
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    assert "Exchange" not in stuffing.counted(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_rows_and_unlabelled_pages(make):
+    spam = ", ".join(["cheap essay", "best thesis"] * 40)
+    rows = [{"doc_id": 1, "text": spam}, {"doc_id": 1, "text": SENT}, {"doc_id": 2, "text": spam, "lang": "en"}, {"doc_id": 2, "text": spam, "lang": "en"}]
+    got = values(stuffing.judged(make("documents", *rows)), "doc_id", "n")
+    assert got == [(1, 15), (1, 160), (2, 160), (2, 160)] and stuffing.judged(make("documents")).count() == 0

@@ -1,20 +1,19 @@
 """Keyword-stuffed and link-list pages (problem 9): rank-frequency curves per page, fitted with SQL windows.
 
-The words of each page are counted and ranked by frequency in a window, and a line is fitted to log frequency over log
-rank.  Each page is compared with prose of the same language at comparable lengths, by the medians of its language and
-length class, in four figures: the slope and the residual of the fit, the height of the curve (how many different words the
-page has for its length), and its overlap with the language's prose.  The prose of a language is described by the BASE
-words found on the largest share of its pages, mostly function words, and their mean share of a page; the overlap is the
-part of that share which the page reaches.  A page is flagged if it diverges so far from prose that little of it can be
-sentences, or if it diverges and its curve is extreme as well.
-
-Texts are shuffled once, by page; counting, ranking and fitting then need no further exchange.  One row per page with its
-word counts is written to the shared folder and read twice.  Only the base words (BASE per language) and the medians of
-the classes are joined back; they are broadcast by Spark when their measured size allows.
-
-Defined results: null and empty texts and pages with fewer than LEAST_WORDS words are no cases; a page is compared
-with the language it overlaps most, whatever its label; rows with the same ``doc_id`` count as one page and equal pages are
-judged alike; a null ``doc_id`` is left out; an empty table gives no rows; further columns are ignored.
+A page's words are counted within its row, on sorted 64-bit hashes, so no text and no list of words is shuffled.  What is shuffled is each page's
+spectrum, how many of its words occur how often, a handful of numbers; windows over it give the ranks, and from them come
+
+* the slope and the residual of a line through log frequency over log rank (words of equal frequency share their mean rank),
+* the page's own curve: the share of its words that its RANKS most frequent words make up,
+* the curve of prose on the page: the share that the PROSE_RANKS words found on most pages of its language make up.
+
+Each page is compared with the pages of its language at comparable lengths: every figure is expressed in interquartile ranges from the median of its
+class, and the quartiles come from histograms over all pages.  The divergence is the mean excess of the page's own curve plus the mean deficit of the prose curve.  A page is
+flagged where its divergence exceeds DIVERGENT, or LEANING together with an extreme slope or residual.
+
+Defined results: null and empty texts and pages with fewer than LEAST_WORDS words are no cases; a page is compared with the language whose words
+make up most of it, or that of its label where none do; a ``doc_id`` of several rows is a case if any of them is; equal pages are judged alike; a
+null ``doc_id`` is left out; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +24,20 @@ from pyspark.sql import Window as W
 
 from ..sources.shared import Scratch
 
-BASE, LEAST_WORDS = 40, 12
-#: A class with fewer pages takes the medians of its whole language.
-CLASS_PAGES = 8
-#: Bounds on the ratios to the class medians.  Ratios of short pages scatter more, as one over the root of the number of words,
-#: so the bounds fall with it: (for very long pages, times one over the root).  ALONE: overlap by itself; WITH_CURVE is added to it
-#: where the curve is extreme, by its height (HEIGHT), its residual (LOOSE) or its slope (STEEP).
-ALONE, HEIGHT = (0.72, 3.0), (0.82, 2.0)
-WITH_CURVE, LOOSE, STEEP = 0.2, 1.8, -0.4
+LEAST_WORDS = 12
+#: Ranks up to which the curves are taken.
+RANKS, PROSE_RANKS = (1, 2, 4, 8, 16, 32, 64, 128, 256), (1, 2, 4, 8, 16, 32, 40)
+BASE = PROSE_RANKS[-1]
+#: A class takes in the lengths around it, in half powers of two, until it has this many pages; beyond the last width, its whole language.
+CLASS_PAGES, WIDTHS = 20, (1, 2, 4, 64)
+#: Bounds in interquartile ranges: the divergence by itself, or with an extreme slope or residual.
+DIVERGENT, LEANING, STEEP, LOOSE = 2.5, 2.0, 3.0, 4.0
+#: Width of a histogram's bins, and the least interquartile range.
+BIN, LEAST_RANGE = 1 / 512, 1 / 256
+
+_OWN = [f"own{r}" for r in RANKS]
+_PROSE = [f"prose{r}" for r in PROSE_RANKS]
+_FIGURES = ["slope", "residual", *_OWN, *_PROSE]
 
 
 def words(text: Column) -> Column:
@@ -41,66 +46,103 @@ def words(text: Column) -> Column:
     return F.split(F.lower(bare), "[^\\p{L}\\p{M}]+")
 
 
-def pages(documents: DataFrame) -> DataFrame:
-    """``(doc_id, lang, n, v, slope, residual, counts)``: the fitted curve of each page and its word counts.
+def counted(documents: DataFrame) -> DataFrame:
+    """``(page, doc_id, lang, n, words, counts)`` of each row with enough words: its distinct words (hashed, in order) and how often each occurs.
 
-    Words and languages are represented by 64-bit hashes, so that counting and ranking work on numbers alone.
+    Equal hashes stand side by side once sorted, so the ends of their runs give the counts.  ``page`` is unique; write the result before use.
     """
-    rows = documents.filter("doc_id is not null and text is not null and text <> ''").select("doc_id", "lang", "text")
-    each = rows.repartition("doc_id").select("doc_id", F.when(F.col("lang").isNotNull(), F.xxhash64("lang")).alias("lang"), F.explode(words(F.col("text"))).alias("w"))
-    counted = each.filter("w <> ''").select("doc_id", "lang", F.xxhash64("w").alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("f"), F.max("lang").alias("lang"))
-    ranked = counted.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("f"), "word")))
-    x, y = F.log(F.col("r").cast("double")), F.log(F.col("f").cast("double"))
-    sums = ranked.groupBy("doc_id").agg(
-        F.max("lang").alias("lang"), F.sum("f").alias("n"), F.count(F.lit(1)).alias("v"),
-        F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(x * x).alias("xx"), F.avg(x * y).alias("xy"), F.avg(y * y).alias("yy"),
-        F.collect_list(F.struct("word", F.col("f").cast("int").alias("f"))).alias("counts"),
+    rows = documents.filter("doc_id is not null and text is not null and text <> ''").select("doc_id", F.when(F.col("lang").isNotNull(), F.xxhash64("lang")).alias("lang"), words(F.col("text")).alias("w"))
+    rows = rows.select("doc_id", "lang", F.sort_array(F.transform(F.array_remove("w", ""), lambda x: F.xxhash64(x))).alias("h")).withColumn("n", F.size("h")).filter(F.col("n") >= LEAST_WORDS)
+    ends = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i == F.col("n")) | (F.get("h", i) != F.get("h", i - 1)))
+    rows = rows.select("doc_id", "lang", "n", "h", ends.alias("ends"))
+    counts = F.transform("ends", lambda i, k: (i - F.when(k == 0, 0).otherwise(F.get("ends", k - 1))).cast("int"))
+    return rows.select(F.monotonically_increasing_id().alias("page"), "doc_id", "lang", "n", F.transform("ends", lambda i: F.get("h", i - 1)).alias("words"), counts.alias("counts"))
+
+
+def pages(rows: DataFrame) -> DataFrame:
+    """``(page, v, slope, residual, own...)``: the fitted curve of each page of ``counted`` rows."""
+    sizes = rows.select("page", F.size("counts").alias("v"), F.sort_array("counts", asc=False).alias("f"))
+    ends = F.filter(F.sequence(F.lit(1), F.col("v")), lambda i: (i == F.col("v")) | (F.get("f", i) != F.get("f", i - 1)))
+    sizes = sizes.select("page", "f", ends.alias("ends"))
+    runs = F.transform("ends", lambda i, k: F.struct(F.get("f", i - 1).alias("f"), (i - F.when(k == 0, 0).otherwise(F.get("ends", k - 1))).cast("int").alias("m")))
+    spectrum = sizes.select("page", F.explode(runs).alias("x")).select("page", "x.f", "x.m")
+    above = F.coalesce(F.sum("m").over(W.partitionBy("page").orderBy(F.desc("f")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = spectrum.withColumn("above", above)
+    x, y, m = F.log(F.col("above") + (F.col("m") + 1) / 2), F.log(F.col("f").cast("double")), F.col("m")
+    held = lambda r: F.sum(F.col("f") * F.least(m, F.greatest(F.lit(r) - F.col("above"), F.lit(0))))
+    total, v = F.sum(F.col("f").cast("bigint") * m), F.sum("m")
+    sums = ranked.groupBy("page").agg(
+        v.alias("v"), (F.sum(m * x) / v).alias("mx"), (F.sum(m * y) / v).alias("my"), (F.sum(m * x * x) / v).alias("xx"), (F.sum(m * x * y) / v).alias("xy"), (F.sum(m * y * y) / v).alias("yy"),
+        *[(held(r) / total).alias(f"own{r}") for r in RANKS],
     )
     sxx, sxy, syy = F.col("xx") - F.col("mx") ** 2, F.col("xy") - F.col("mx") * F.col("my"), F.col("yy") - F.col("my") ** 2
-    slope = F.coalesce(F.try_divide(sxy, sxx), F.lit(0.0))
-    return sums.filter(F.col("n") >= LEAST_WORDS).select("doc_id", "lang", "n", "v", slope.alias("slope"), F.sqrt(F.greatest(syy - slope * sxy, F.lit(0.0))).alias("residual"), "counts")
+    slope = F.when(sxx > 1e-12, sxy / sxx).otherwise(0.0)
+    return sums.select("page", "v", slope.alias("slope"), F.sqrt(F.greatest(syy - slope * sxy, F.lit(0.0))).alias("residual"), *_OWN)
+
 
+def base_words(rows: DataFrame) -> DataFrame:
+    """``(base_lang, word, rank)``: the BASE words on most pages of each language, by label."""
+    seen = rows.filter("lang is not null").select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df"))
+    top = seen.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("df"), "word"))).filter(F.col("rank") <= BASE)
+    return top.select(F.col("lang").alias("base_lang"), "word", "rank")
 
-def base_words(fitted: DataFrame) -> DataFrame:
-    """``(base_lang, word, share)``: the BASE words on most pages of each language, shares of a language adding up to 1."""
-    each = fitted.filter("lang is not null").select("lang", "n", F.explode("counts").alias("c"))
-    seen = each.groupBy("lang", F.col("c.word").alias("word")).agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("c.f") / F.col("n")).alias("mass"))
-    top = seen.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("df"), "word"))).filter(F.col("r") <= BASE)
-    pages_of = fitted.filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("pages"))
-    return top.join(pages_of, "lang").select(F.col("lang").alias("base_lang"), "word", (F.col("mass") / F.col("pages")).alias("share"))
 
+def prose_curve(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """``(page, base_lang, held...)``: how many of a page's words are prose words of each language up to each rank; only languages with any."""
+    each = rows.select("page", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("page", F.col("x.words").alias("word"), F.col("x.counts").alias("f"))
+    return each.join(base, "word").groupBy("page", "base_lang").agg(*[F.sum(F.when(F.col("rank") <= r, F.col("f")).otherwise(0)).cast("int").alias(f"held{r}") for r in PROSE_RANKS])
 
-def features(documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(doc_id, base_lang, n, slope, height, residual, overlap, size_class)`` of each page."""
-    fitted = scratch.keep(pages(documents))
-    base = scratch.keep(base_words(fitted))
-    whole = base.groupBy("base_lang").agg(F.sum("share").alias("all_shares"))
-    hits = fitted.select("doc_id", "n", F.explode("counts").alias("c")).select("doc_id", "n", F.col("c.word").alias("word"), F.col("c.f").alias("f")).join(base, "word")
-    overlap = hits.groupBy("doc_id", "base_lang").agg(F.sum(F.least(F.col("f") / F.col("n"), F.col("share"))).alias("o")).join(whole, "base_lang").select("doc_id", "base_lang", (F.col("o") / F.col("all_shares")).alias("o"))
-    best = overlap.groupBy("doc_id").agg(F.max(F.struct(F.round("o", 9).alias("o"), "base_lang")).alias("b"))
-    own = fitted.drop("counts").join(best, "doc_id", "left")
-    return own.select("doc_id", F.coalesce("b.base_lang", "lang", F.lit(0)).alias("base_lang"), "n", "slope", (F.col("v") / F.pow("n", F.lit(0.7))).alias("height"), "residual", F.coalesce("b.o", F.lit(0.0)).alias("overlap"), F.floor(2 * F.log2("n")).cast("int").alias("size_class"))
 
+def features(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(page, doc_id, base_lang, n, size_class, slope, residual, own..., prose...)`` of each page."""
+    held = prose_curve(rows, scratch.keep(base_words(rows)))
+    last = f"held{BASE}"
+    best = held.withColumn("r", F.row_number().over(W.partitionBy("page").orderBy(F.desc(last), "base_lang"))).filter("r = 1").drop("r")
+    both = rows.select("page", "doc_id", "lang", "n").join(pages(rows), "page").join(best, "page", "left")
+    return both.select(
+        "page", "doc_id", F.coalesce("base_lang", "lang", F.lit(0)).alias("base_lang"), "n", F.floor(2 * F.log2("n")).cast("int").alias("size_class"), "slope", "residual", *_OWN,
+        *[(F.coalesce(f"held{r}", F.lit(0)) / F.col("n")).alias(f"prose{r}") for r in PROSE_RANKS],
+    )
+
+
+def quartiles(rows: DataFrame) -> DataFrame:
+    """``(base_lang, size_class, q)``: the quartiles of all figures of each class, ``q`` an array of (low, middle, high) in the order of the figures.
 
-def judged(documents: DataFrame) -> DataFrame:
-    """The features of each page as ratios to prose of the same language at comparable lengths, and ``is_stuffed``."""
+    They are read off histograms, which are counted with map-side combining; a class with few pages takes in its neighbours first.
+    """
+    bins = F.array(*[F.floor(F.col(c) / BIN).cast("int") for c in _FIGURES])
+    hist = rows.select("base_lang", "size_class", F.posexplode(bins).alias("figure", "bin")).groupBy("base_lang", "size_class", "figure", "bin").agg(F.count(F.lit(1)).alias("c"))
+    held = hist.filter("figure = 0").groupBy("base_lang", "size_class").agg(F.sum("c").alias("c"))
+    reach = lambda df: df.withColumn("width", F.explode(F.array(*map(F.lit, WIDTHS))))
+    targets = reach(held.select("base_lang", F.col("size_class").alias("target")))
+    near = targets.join(held, "base_lang").filter(F.abs(F.col("size_class") - F.col("target")) <= F.col("width"))  # classes, not pages: a few dozen of each language
+    width = near.groupBy("base_lang", "target", "width").agg(F.sum("c").alias("c")).groupBy("base_lang", "target").agg(F.coalesce(F.min(F.when(F.col("c") >= CLASS_PAGES, F.col("width"))), F.lit(WIDTHS[-1])).alias("width"))
+    taken = hist.join(width, "base_lang").filter(F.abs(F.col("size_class") - F.col("target")) <= F.col("width")).groupBy("base_lang", "target", "figure", "bin").agg(F.sum("c").alias("c"))
+    w = W.partitionBy("base_lang", "target", "figure")
+    ranked = taken.withColumn("upto", F.sum("c").over(w.orderBy("bin"))).withColumn("all", F.sum("c").over(w))
+    at = [F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("bin") + 0.5) * BIN)).alias(k) for q, k in ((0.25, "low"), (0.5, "middle"), (0.75, "high"))]
+    each = ranked.groupBy("base_lang", "target", "figure").agg(*at)
+    return each.groupBy("base_lang", F.col("target").alias("size_class")).agg(F.transform(F.sort_array(F.collect_list(F.struct("figure", "low", "middle", "high"))), lambda x: F.struct(x["low"].alias("low"), x["middle"].alias("middle"), x["high"].alias("high"))).alias("q"))
+
+
+def judged(documents: DataFrame, fit: Column | None = None) -> DataFrame:
+    """``(page, doc_id, n, divergence, own_excess, prose_deficit, steeper, looser, is_stuffed)`` of each page.
+
+    ``fit`` restricts the pages of which the quartiles are taken, to measure on the others; by default all pages count.
+    """
     scratch = Scratch(documents.sparkSession, "stuffing")
-    rows = scratch.keep(features(documents, scratch))
-    medians = [F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in ("slope", "height", "residual", "overlap")]
-    near = rows.withColumn("size_class", F.explode(F.sequence(F.col("size_class") - 1, F.col("size_class") + 1)))
-    classes = near.groupBy("base_lang", "size_class").agg(F.count(F.lit(1)).alias("pages"), *medians).filter(F.col("pages") >= CLASS_PAGES).drop("pages")
-    langs = rows.groupBy("base_lang").agg(*[m.alias(f"l_{c}") for m, c in zip(medians, ("slope", "height", "residual", "overlap"))])
-    both = rows.join(langs, "base_lang").join(classes, ["base_lang", "size_class"], "left")
-    m = {c: F.coalesce(f"m_{c}", f"l_{c}") for c in ("slope", "height", "residual", "overlap")}
-    ratio = {c: F.coalesce(F.try_divide(F.col(c), m[c]), F.lit(1.0)) for c in ("height", "residual", "overlap")}
-    steeper = F.col("slope") - m["slope"]
-    root = F.sqrt(F.col("n").cast("double"))
-    alone, height = ALONE[0] - ALONE[1] / root, HEIGHT[0] - HEIGHT[1] / root
-    extreme = (ratio["height"] < height) | (ratio["residual"] > LOOSE) & (steeper < STEEP / 4) | (steeper < STEEP)
-    flagged = (ratio["overlap"] < alone) | (ratio["overlap"] < alone + WITH_CURVE) & extreme
-    return both.select("doc_id", "n", *[F.round(v, 6).alias(f"{k}_ratio") for k, v in ratio.items()], F.round(steeper, 6).alias("steeper"), flagged.alias("is_stuffed"))
+    rows = scratch.keep(features(scratch.keep(counted(documents)), scratch))
+    both = rows.join(quartiles(rows if fit is None else rows.filter(fit)), ["base_lang", "size_class"], "left")
+    at = {c: i for i, c in enumerate(_FIGURES)}
+    q = lambda c, k: F.get(F.col("q"), F.lit(at[c]))[k]
+    z = lambda c: F.coalesce((F.col(c) - q(c, "middle")) / F.greatest(q(c, "high") - q(c, "low"), F.lit(LEAST_RANGE)), F.lit(0.0))
+    own, prose = sum(z(c) for c in _OWN) / len(_OWN), sum(z(c) for c in _PROSE) / len(_PROSE)
+    both = both.select("page", "doc_id", "n", F.greatest(own, F.lit(0.0)).alias("own_excess"), F.greatest(-prose, F.lit(0.0)).alias("prose_deficit"), (-z("slope")).alias("steeper"), z("residual").alias("looser"))
+    both = both.withColumn("divergence", F.col("own_excess") + F.col("prose_deficit"))
+    extreme = (F.col("steeper") > STEEP) | (F.col("looser") > LOOSE)
+    return both.withColumn("is_stuffed", (F.col("divergence") > DIVERGENT) | (F.col("divergence") > LEANING) & extreme)
 
 
 def found(documents: DataFrame) -> DataFrame:
     """``(doc_id)`` of the pages that are mostly repeated keywords, links or tags."""
-    return judged(documents).filter("is_stuffed").select("doc_id")
+    return judged(documents).filter("is_stuffed").select("doc_id").distinct()
