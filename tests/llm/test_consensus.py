@@ -65,3 +65,55 @@ def test_few_labels_stay_near_their_type(make):
     extra = make("screening", {"seq": 10**6, "source": "S1", "reviewer": "new", "verdict": "defer"})
     rel = {r["reviewer"]: r["reliability"] for r in consensus.reliability(screening.unionByName(extra), iterations=6).collect()}
     assert 0.2 < rel["new"] < 0.95
+
+
+def test_both_plans_agree(make):
+    """Annotators sent to every task or joined: the same posteriors and reliabilities."""
+    screening, *_ = simulated(make, items=120, reviewers=12)
+    small, large = (consensus.fit(consensus.last_votes(screening), max_broadcast=m, iterations=6) for m in (100, 0))
+    a, b = ({r["source"]: (r["verdict"], round(r["certainty"], 6), r["reviewers"]) for r in f.consensus().collect()} for f in (small, large))
+    assert a == b
+    a, b = ({r["reviewer"]: (r["votes"], round(r["reliability"], 6), r["likely_type"]) for r in f.reliability().collect()} for f in (small, large))
+    assert a == b and small.iterations == large.iterations
+
+
+def test_settled_or_not_is_reported(make):
+    screening, *_ = simulated(make, items=120, reviewers=12)
+    assert not consensus.fit(consensus.last_votes(screening), iterations=2).converged
+    done = consensus.fit(consensus.last_votes(screening), iterations=200)
+    assert done.converged and done.iterations < 200
+
+
+def test_reviewers_against_a_plain_fit(make):
+    """Reliability against the same updates written out over dictionaries, two iterations."""
+    import numpy as np
+
+    screening, *_ = simulated(make, items=40, reviewers=8, per_item=4)
+    votes = [(r["source"], r["reviewer"], consensus.LABELS.index(r["verdict"])) for r in consensus.last_votes(screening).collect()]
+    people, n = sorted({w for _, w, _ in votes}), 3
+    digamma = lambda x: consensus._digamma(np.asarray(x, float))
+    protos = consensus.type_prototypes(n)
+    types, weights = 1 + 20 * protos, np.full(len(protos), 2.0)
+    log, begin, own, prior = {w: 1.1 * np.eye(n) for w in people}, np.zeros(n), {}, None
+    for _ in range(2):
+        score = {}
+        for s, w, y in votes:
+            score[s] = score.get(s, begin) + log[w][:, y]
+        q = {s: np.exp(x - x.max()) / np.exp(x - x.max()).sum() for s, x in score.items()}
+        prior = 1 + sum(q.values())
+        counts = {w: np.zeros((n, n)) for w in people}
+        for s, w, y in votes:
+            counts[w][:, y] += q[s]
+        mean, elog = types / types.sum(-1, keepdims=True), digamma(types) - digamma(types.sum(-1, keepdims=True))
+        moved, held = np.zeros_like(types), np.zeros(len(types))
+        for w in people:
+            z = digamma(weights) - digamma(weights.sum()) + np.array([(counts[w] * e).sum() for e in elog])
+            r = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            own[w] = consensus.STRENGTH * np.tensordot(r, mean, 1) + counts[w]
+            log[w] = digamma(own[w]) - digamma(own[w].sum(-1, keepdims=True))
+            moved, held = moved + r[:, None, None] * counts[w], held + r
+        begin = digamma(prior) - digamma(prior.sum())
+        types, weights = 1 + 4 * protos + moved, 2.0 + held
+    expect = {w: float((prior / prior.sum() * np.diag(own[w] / own[w].sum(-1, keepdims=True))).sum()) for w in people}
+    got = {r["reviewer"]: r["reliability"] for r in consensus.fit(consensus.last_votes(screening), iterations=2).reliability().collect()}
+    assert got.keys() == expect.keys() and all(abs(got[w] - expect[w]) < 1e-9 for w in people)

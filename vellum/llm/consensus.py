@@ -5,10 +5,10 @@ drawn around the matrix of its type with a strength of ``STRENGTH`` pseudo-votes
 labels therefore keeps close to its type, one with many is judged by its own record.  The updates alternate between the
 items (posterior of the true label), the annotators (posterior of type and matrix) and the types (shared matrices).
 
-One iteration is one pass over the votes, which stay partitioned by item in the shared folder; what is aggregated from
-them, three expected counts per annotator and label, is combined on the map side.  Annotator parameters are broadcast
-only while their counted number is at most ``MAX_BROADCAST`` (some 150 bytes each), else joined with salts.  Only the
-types' matrices (a few dozen numbers) reach the driver.
+While the counted number of annotators is at most ``MAX_BROADCAST``, their parameters (some 72 bytes each) go to the tasks and the votes of an item stand in one
+row, as an array of at most one number per annotator.  An iteration is then one job without any exchange but for the expected counts, which each task sums
+before it hands them on: three by three per annotator.  Beyond that number, parameters and votes are joined with salts instead, which exchanges the
+votes by annotator and by item in every iteration.  Whether the fit settled within ``iterations`` is reported as ``converged``.
 
 Defined results: null items, reviewers and verdicts are left out, as are verdicts outside the labels; a row written twice
 counts once; an annotator's last vote on an item by ``seq`` counts (of equal ``seq``, the alphabetically last verdict);
@@ -21,11 +21,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.skew import salted_lookup
+from ..sources import shared
 from ..sources.shared import Scratch
 
 LABELS = ("include", "exclude", "defer")
@@ -88,26 +90,55 @@ def _annotators(types: np.ndarray, weights: np.ndarray, prior: np.ndarray, stren
     return run, "reviewer string, " + ", ".join(f"{f} double" for f in fields)
 
 
-def _by_source(votes: DataFrame, parts: int) -> DataFrame:
-    """The votes, hashed and sorted by source, in the shared folder.
+def _posterior(flat: np.ndarray, starts: np.ndarray, logs: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The posterior of each item; ``flat`` are its votes (annotator times labels, plus label), ``logs`` (annotator * labels + given, true)."""
+    s = np.add.reduceat(logs[flat], starts, axis=0) + begin
+    q = np.exp(s - s.max(1, keepdims=True))
+    return q / q.sum(1, keepdims=True)
 
-    Planned without adaptive execution, under which a checkpoint forgets how it is partitioned; so no iteration shuffles
-    or sorts the votes again.
-    """
-    conf, key = votes.sparkSession.conf, "spark.sql.adaptive.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
-        return votes.repartition(parts, "source").sortWithinPartitions("source").checkpoint()
-    finally:
-        conf.set(key, before)
+
+def _batches(batches: Iterator[pa.RecordBatch]):
+    """``(sources, votes of all items one after another, where each item's begin, how many it has)`` of each batch."""
+    for batch in batches:
+        if batch.num_rows:
+            lists = batch.column("votes")
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            yield batch.column("source"), flat, ends[:-1] - ends[0], np.diff(ends)
+
+
+def _expected(logs: np.ndarray, begin: np.ndarray, n: int):
+    """Each task's expected counts: a row per annotator and given label that occurs, ``(at, c0..)``; the sums of the posterior stand at -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, total, some = np.zeros((len(logs), n)), np.zeros(n), False
+        for _, flat, starts, sizes in _batches(batches):
+            q, some = _posterior(flat, starts, logs, begin), True
+            each = np.repeat(q, sizes, axis=0)
+            for j in range(n):
+                counts[:, j] += np.bincount(flat, each[:, j], len(logs))
+            total += q.sum(0)
+        if some:
+            at = np.flatnonzero(counts.any(1))
+            rows = np.vstack([total, counts[at]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), *[pa.array(rows[:, j]) for j in range(n)]], ["at", *[f"c{j}" for j in range(n)]])
+
+    return run, "at bigint, " + ", ".join(f"c{j} double" for j in range(n))
+
+
+def _items(logs: np.ndarray, begin: np.ndarray, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for source, flat, starts, sizes in _batches(batches):
+            q = _posterior(flat, starts, logs, begin)
+            yield pa.RecordBatch.from_arrays([source, *[pa.array(q[:, j]) for j in range(n)], pa.array(sizes.astype(np.int64))], ["source", *[f"q{j}" for j in range(n)], "n"])
+
+    return run, "source string, " + ", ".join(f"q{j} double" for j in range(n)) + ", n bigint"
 
 
 class Fit:
     """A fitted model: ``items (source, q0.., n)`` and ``annotators (reviewer, c*, t*, m*, e*)``."""
 
-    def __init__(self, items: DataFrame, annotators: DataFrame, prior: np.ndarray, labels: Sequence[str], iterations: int):
-        self.items, self.annotators, self.prior, self.labels, self.iterations = items, annotators, prior, tuple(labels), iterations
+    def __init__(self, items: DataFrame, annotators: DataFrame, prior: np.ndarray, labels: Sequence[str], iterations: int, converged: bool):
+        self.items, self.annotators, self.prior, self.labels, self.iterations, self.converged = items, annotators, prior, tuple(labels), iterations, converged
 
     def consensus(self) -> DataFrame:
         """``(source, verdict, certainty, reviewers)`` for every item with a vote."""
@@ -129,29 +160,77 @@ class Fit:
         return self.annotators.select("reviewer", F.round(votes).cast("bigint").alias("votes"), right.alias("reliability"), kind.alias("likely_type"))
 
 
+class _Types:
+    """The shared part of the model: types' matrices and weights, and the labels' prior, as pseudo-counts."""
+
+    def __init__(self, n: int):
+        self.n, self.types = n, 1 + 20 * type_prototypes(n)
+        self.weights, self.prior = np.full(len(self.types), 2.0), np.full(n, 1.0)
+
+    def update(self, moved: np.ndarray, held_by: np.ndarray) -> float:
+        """Take in the annotators' counts by type; how far a matrix moved."""
+        before = self.types / self.types.sum(-1, keepdims=True)
+        self.types, self.weights = 1 + 4 * type_prototypes(self.n) + moved, 2.0 + held_by
+        return float(np.abs(self.types / self.types.sum(-1, keepdims=True) - before).max())
+
+
 def fit(votes: DataFrame, labels: Sequence[str] = LABELS, strength: float = STRENGTH, iterations: int = 25, tolerance: float = 1e-3, max_broadcast: int = MAX_BROADCAST) -> Fit:
     """Fit the model to ``votes (source, reviewer, verdict)`` with one vote per source and reviewer."""
-    spark, n = votes.sparkSession, len(labels)
-    scratch = Scratch(spark, "consensus")  # also sets the folder of checkpoint()
+    scratch = Scratch(votes.sparkSession, "consensus")
     label = F.coalesce(*[F.when(F.col("verdict") == x, F.lit(i)) for i, x in enumerate(labels)])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    votes = _by_source(votes.select("source", "reviewer", label.cast("tinyint").alias("y")), parts)
-    same = W.partitionBy("source")
-    held = votes.groupBy("reviewer").count().count()
-    small = held <= max_broadcast
+    votes = scratch.keep(votes.select("source", "reviewer", label.cast("tinyint").alias("y")))
+    reviewers = scratch.keep(votes.select("reviewer").distinct())
+    fitting = _fit_small if shared.rows(reviewers) <= max_broadcast else _fit_large
+    return fitting(votes, reviewers, tuple(labels), strength, iterations, tolerance, scratch)
 
-    types = 1 + 20 * type_prototypes(n)
-    k = len(types)
-    weights, prior = np.full(k, 2.0), np.full(n, 1.0)
+
+def _fit_small(votes: DataFrame, reviewers: DataFrame, labels: tuple[str, ...], strength: float, iterations: int, tolerance: float, scratch: Scratch) -> Fit:
+    """``reviewers`` are counted: at most ``MAX_BROADCAST``."""
+    spark, n = votes.sparkSession, len(labels)
+    names = sorted(r["reviewer"] for r in reviewers.collect())
+    table = spark.createDataFrame(pd.DataFrame({"reviewer": pd.Series(names, dtype=object), "k": np.arange(len(names))}), "reviewer string, k int")
+    coded = votes.join(table, "reviewer").select("source", (F.col("k") * n + F.col("y")).alias("vote"))
+    items = scratch.keep(coded.groupBy("source").agg(F.sort_array(F.collect_list("vote")).alias("votes")))  # at most one vote per annotator
+    model, people = _Types(n), None
+    # shares of the votes, smoothed, to begin with
+    logs, begin = 1.1 * np.tile(np.eye(n), (max(1, len(names)), 1)), np.zeros(n)
+    converged, step = not names, 0
+    schema = _annotators(model.types, model.weights, model.prior, strength, n)[1]
+    while step < iterations and names:
+        step += 1
+        run, kind = _expected(logs, begin, n)
+        sums = items.mapInArrow(run, kind).groupBy("at").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(n)]).toPandas().sort_values("at", ignore_index=True)
+        at, c = sums["at"].to_numpy(), sums[[f"c{j}" for j in range(n)]].to_numpy()
+        model.prior = 1.0 + c[at < 0].sum(0)
+        counts = np.zeros((len(names) * n, n))
+        counts[at[at >= 0]] = c[at >= 0]
+        counts = counts.reshape(-1, n, n).transpose(0, 2, 1).reshape(-1, n * n)  # [true, given]
+        run, _ = _annotators(model.types, model.weights, model.prior, strength, n)
+        people = next(run(iter([pd.DataFrame({"reviewer": names} | {f"c{i}": counts[:, i] for i in range(n * n)})])))
+        logs = people[[f"e{i}" for i in range(n * n)]].to_numpy().reshape(-1, n, n).transpose(0, 2, 1).reshape(-1, n)
+        begin = people[[f"p{j}" for j in range(n)]].to_numpy()[0]
+        resp = people[[f"t{a}" for a in range(len(model.types))]].to_numpy()
+        moved = model.update((resp.T @ counts).reshape(-1, n, n), resp.sum(0))
+        if converged := step > 3 and moved < tolerance:
+            break
+    run, kind = _items(logs, begin, n)
+    told = spark.createDataFrame(people, schema) if people is not None else spark.createDataFrame([], schema)
+    return Fit(items.mapInArrow(run, kind), told, model.prior / model.prior.sum(), labels, step, converged)
+
+
+def _fit_large(votes: DataFrame, reviewers: DataFrame, labels: tuple[str, ...], strength: float, iterations: int, tolerance: float, scratch: Scratch) -> Fit:
+    """The same updates where the annotators are too many to be sent to every task."""
+    n = len(labels)
+    same = W.partitionBy("source")
+    model, k = _Types(n), n + 3
     people: DataFrame | None = None
-    step = 0
+    step, converged = 0, False
     while True:
-        if people is None:  # shares of the votes, smoothed
-            rows, logs = votes, [F.when(F.col("y") == j, F.lit(1.1)).otherwise(F.lit(0.0)) for j in range(n)]
-            begin = [F.lit(0.0)] * n
+        if people is None:
+            rows, logs, begin = votes, [F.when(F.col("y") == j, F.lit(1.1)).otherwise(F.lit(0.0)) for j in range(n)], [F.lit(0.0)] * n
         else:
             told = people.select("reviewer", *[f"e{i}" for i in range(n * n)], *[f"p{j}" for j in range(n)])
-            rows = votes.join(F.broadcast(told), "reviewer") if small else salted_lookup(votes, told, ["reviewer"], "source")
+            rows = salted_lookup(votes, told, ["reviewer"], "source")
             logs = [F.coalesce(*[F.when(F.col("y") == i, F.col(f"e{j * n + i}")) for i in range(n)]) for j in range(n)]
             begin = [F.col(f"p{j}") for j in range(n)]
         rows = rows.select("source", "reviewer", "y", *[(F.sum(x).over(same) + begin[j]).alias(f"s{j}") for j, x in enumerate(logs)], F.count(F.lit(1)).over(same).alias("n"))
@@ -159,36 +238,22 @@ def fit(votes: DataFrame, labels: Sequence[str] = LABELS, strength: float = STRE
         rows = rows.select("source", "reviewer", "y", "n", *[F.exp(F.col(f"s{j}") - top).alias(f"s{j}") for j in range(n)])
         total = sum(F.col(f"s{j}") for j in range(n))
         rows = rows.select("source", "reviewer", "y", "n", *[(F.col(f"s{j}") / total).alias(f"q{j}") for j in range(n)])
-        if step == iterations:
+        if converged or step == iterations:
             break
         step += 1
         counts = rows.groupBy("reviewer").agg(
             *[F.sum(F.when(F.col("y") == i, F.col(f"q{j}")).otherwise(0.0)).alias(f"c{j * n + i}") for j in range(n) for i in range(n)],
             *[F.sum(F.col(f"q{j}") / F.col("n")).alias(f"w{j}") for j in range(n)],
         )
-        before = types / types.sum(-1, keepdims=True)
-        if small:  # counted: at most max_broadcast rows
-            table = counts.toPandas().sort_values("reviewer", ignore_index=True)
-            share = table[[f"w{j}" for j in range(n)]].sum().to_numpy()
-            prior = 1.0 + share
-            run, schema = _annotators(types, weights, prior, strength, n)
-            told = next(run(iter([table])))
-            people = spark.createDataFrame(told, schema)
-            resp, c = told[[f"t{a}" for a in range(k)]].to_numpy(), told[[f"c{i}" for i in range(n * n)]].to_numpy()
-            moved, held_by = (resp.T @ c).reshape(k, n, n), resp.sum(0)
-        else:
-            counts = scratch.keep(counts)
-            prior = 1.0 + np.array(counts.agg(*[F.sum(f"w{j}") for j in range(n)]).first(), dtype=float)
-            run, schema = _annotators(types, weights, prior, strength, n)
-            people = scratch.keep(counts.mapInPandas(run, schema))
-            sums = people.agg(*[F.sum(F.col(f"t{a}") * F.col(f"c{i}")) for a in range(k) for i in range(n * n)], *[F.sum(f"t{a}") for a in range(k)]).first()
-            moved, held_by = np.array(sums[: k * n * n], dtype=float).reshape(k, n, n), np.array(sums[k * n * n :], dtype=float)
-        types = 1 + 4 * type_prototypes(n) + moved
-        weights = 2.0 + held_by
-        if held == 0 or step > 3 and np.abs(types / types.sum(-1, keepdims=True) - before).max() < tolerance:
-            iterations = step  # one more pass gives the items' posterior under the last parameters
+        counts = scratch.keep(counts, **{f"w{j}": F.sum(f"w{j}") for j in range(n)})
+        model.prior = 1.0 + np.array([shared.measure(counts, f"w{j}") or 0.0 for j in range(n)])
+        run, schema = _annotators(model.types, model.weights, model.prior, strength, n)
+        people = scratch.keep(counts.mapInPandas(run, schema))
+        sums = people.agg(*[F.sum(F.col(f"t{a}") * F.col(f"c{i}")) for a in range(k) for i in range(n * n)], *[F.sum(f"t{a}") for a in range(k)]).first()
+        moved = model.update(np.array(sums[: k * n * n], dtype=float).reshape(k, n, n), np.array(sums[k * n * n :], dtype=float))
+        converged = step > 3 and moved < tolerance
     items = rows.groupBy("source").agg(*[F.first(f"q{j}").alias(f"q{j}") for j in range(n)], F.first("n").alias("n"))
-    return Fit(items, people, prior / prior.sum(), labels, step)
+    return Fit(items, people, model.prior / model.prior.sum(), labels, step, converged)
 
 
 def found(screening: DataFrame, least: int = 3, **options) -> DataFrame:
