@@ -55,21 +55,31 @@ def read_lines(lines: DataFrame) -> DataFrame:
     return rows.select("line_id", _named(F.col("e"), "title").alias("title"), F.nullif(year, F.lit("")).cast("int").alias("year"))
 
 
-def copies(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(tab, id, keep_id, copies)`` for each row of ``records (tab, id, title, year)`` that has at least one copy.
+def _refined(records: DataFrame, scratch: Scratch, hot_rows: int, alone: bool) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """Both levels: ``(tab, id)`` of rows alone in their level-1 class (only if asked for), members of the other classes, and the level-2 classes.
 
-    ``keep_id`` is the smallest id of the copies.
+    Members are ``(tab, yr, id, digest)``, classes ``(tab, yr, digest, keep_id, copies)``.
     """
-    scratch = Scratch(records.sparkSession, "copies")
     rows = records.select("tab", "id", F.coalesce(F.col("year").cast("string"), F.lit("")).alias("yr"), stripped(F.col("title")).alias("key")).filter(F.col("key") != "")
     rows = rows.select("tab", "id", "yr", F.length("key").alias("len"), letter_histogram(F.col("key")).alias("hist"), "key")
     level1 = ["tab", "yr", "len", "hist"]
-    classes = scratch.keep(rows.groupBy(*level1).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = salted_lookup(rows, classes, level1, "id", "left_semi", hot_rows, counted="n")
+    classes = rows.groupBy(*level1).agg(F.count(F.lit(1)).alias("n"), *([F.min("id").alias("id")] if alone else []))
+    classes = scratch.keep(classes if alone else classes.filter("n > 1"))
+    lone = classes.filter("n = 1").select("tab", "id") if alone else None
+    members = salted_lookup(rows, classes.filter("n > 1").select(*level1, "n"), level1, "id", "left_semi", hot_rows, counted="n")
     members = scratch.keep(members.select("tab", "yr", "id", F.unhex(F.md5("key")).alias("digest")))
-    level2 = ["tab", "yr", "digest"]
-    groups = scratch.keep(members.groupBy(*level2).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
-    return salted_lookup(members, groups, level2, "id", "inner", hot_rows, counted="copies").select("tab", "id", "keep_id", "copies")
+    return lone, members, members.groupBy("tab", "yr", "digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+
+
+def copies(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(tab, id, keep_id, copies)`` for each row of ``records (tab, id, title, year)`` that has at least one copy.
+
+    ``keep_id`` is the smallest id of the copies.
+    """
+    scratch = Scratch(records.sparkSession, "copies")
+    _, members, groups = _refined(records, scratch, hot_rows, False)
+    groups = scratch.keep(groups.filter("copies > 1"))
+    return salted_lookup(members, groups, ["tab", "yr", "digest"], "id", "inner", hot_rows, counted="copies").select("tab", "id", "keep_id", "copies")
 
 
 def both_tables(recs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -84,8 +94,10 @@ def found(recs: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
     return copies(both_tables(recs, lines), hot_rows).filter("id <> keep_id").select("tab", "keep_id", F.col("id").alias("dup_id"))
 
 
-def one_each(recs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(tab, keep_id, copies)``: one row for each distinct title and year, with the number of its copies (1 when alone)."""
-    rows = both_tables(recs, lines).select("tab", "id", F.coalesce(F.col("year").cast("string"), F.lit("")).alias("yr"), stripped(F.col("title")).alias("key")).filter(F.col("key") != "")
-    grouped = rows.groupBy("tab", "yr", F.unhex(F.md5("key")).alias("digest")).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-    return grouped.select("tab", "keep_id", "copies")
+def one_each(recs: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(tab, keep_id, copies)``: one row for each distinct title and year, with the number of its copies (1 when alone).
+
+    These are the rows alone on level 1 and the classes of level 2.
+    """
+    lone, _, groups = _refined(both_tables(recs, lines), Scratch(recs.sparkSession, "records"), hot_rows, True)
+    return lone.select("tab", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("copies")).unionByName(groups.select("tab", "keep_id", "copies"))
