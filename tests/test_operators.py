@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions.text import tokens
-from vellum.operators import nested, review, similarity
+from vellum.operators import ingest, nested, review, similarity
 from vellum.operators.ranking import global_row_number
 from vellum.operators.skew import salted_lookup
-from vellum.sources.pages import CataloguePages
+from vellum.sources.pages import CataloguePages, read_pages
 from vellum.streaming import latest
 
 from .conftest import DATA, values
@@ -100,7 +100,21 @@ def test_page_source(spark, tmp_path):
     (tmp_path / "p3.json").write_text("{broken")
     spark.dataSource.register(CataloguePages)
     df = spark.read.format("catalogue_pages").option("path", str(tmp_path)).load()
-    assert values(df, "page", "place", "id", "title") == [("p1.json", 0, "W1", "A"), ("p1.json", 1, "W2", "B"), ("p2.json", 0, "W3", "")]
+    expect = [("p1.json", 0, "W1", "A"), ("p1.json", 1, "W2", "B"), ("p2.json", 0, "W3", "")]
+    assert values(df, "page", "place", "id", "title") == expect
+    assert values(read_pages(spark, str(tmp_path)), "page", "place", "id", "title") == expect
+
+
+def test_batch_files(spark):
+    files = [
+        ("a", '\n# note\n{"source": "S1", "scope_note": "x", "score": 8, "evidence": ["E1", "E2"], "criteria": {"peer": "yes", "n": 3}, "gone": null, "flag": true}\r\n// x\n{broken\n[1]\n'),
+        ("b", ' [{"a_b": 1.5}, 7, {"a-b": 1, "a_b": 2}] '), ("c", "[]"), ("d", "  \n# only\n"), ("e", None), ("f", "[{]"), ("g", ""),
+    ]
+    got = values(ingest.batch_records(spark.createDataFrame(files, "file string, text string")).select("file", "line", "status", F.expr("array_join(array_sort(transform(map_entries(flags), e -> concat(e.key, '=', e.value))), ' ')").alias("f")))
+    assert got == sorted([
+        ("a", 3, "parsed", "criteria=n:3,peer:yes evidence=E1,E2 flag=true scope-note=x score=8 source=S1"), ("a", 5, "failed", None), ("a", 6, "failed", None),
+        ("b", 1, "parsed", "a-b=1.5"), ("b", 2, "failed", None), ("b", 3, "parsed", "a-b=2"), ("c", 0, "empty", None), ("d", 0, "empty", None), ("e", 0, "empty", None), ("f", 1, "failed", None), ("g", 0, "empty", None),
+    ], key=repr)
 
 
 def test_hot_keys_are_bounded_by_the_partitions(spark):

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .. import vocab
 from ..functions.identity import author_key
@@ -235,6 +236,10 @@ def audit(t, mode: str = "standard") -> DataFrame:
     return out
 
 
-def summary(findings: DataFrame) -> DataFrame:
-    """``(severity, check, findings, first_subject)``."""
-    return findings.groupBy("severity", "check").agg(F.count(F.lit(1)).alias("findings"), F.min("subject").alias("first_subject"))
+def summary(findings: DataFrame, first: int = 20) -> DataFrame:
+    """``(severity, check, findings, subjects)``: how many there are of each kind, and the first of their subjects (a top-k report)."""
+    n = findings.groupBy("severity", "check").agg(F.count(F.lit(1)).alias("findings"))
+    w = W.partitionBy("severity", "check").orderBy("subject")
+    top = findings.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= first)
+    listed = top.groupBy("severity", "check").agg(F.array_join(F.array_sort(F.collect_list("subject")), "; ").alias("subjects"))
+    return n.join(listed, ["severity", "check"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.text import has_figure
 from ..operators import reports
+from ..sources.shared import Scratch
 from . import texts
 from .texts import _CITED, _E, _N, _PARAS, _PROSE, _REPORTS, _STATE, _reports
 from .views import SQL, Ledger
@@ -84,12 +85,14 @@ def graph_findings(t: Ledger) -> DataFrame:
     return out.unionByName(_finding(t.oa_works.filter("id is null"), "error", "graph-node-without-id", "delivery_id"))
 
 
-@query("SELECT rec_id % 4 AS page, count(*) AS records, CAST(sum(length(coalesce(title, ''))) AS BIGINT) AS title_chars FROM recs GROUP BY 1")
+@query("SELECT count(*) AS records, CAST(sum(length(coalesce(title, ''))) AS BIGINT) AS title_chars, CAST(sum(coalesce(len(authors), 0)) AS BIGINT) AS authors, CAST(sum(coalesce(year, 0)) AS BIGINT) AS years FROM recs")
 def record_envelope(t: Ledger) -> DataFrame:
-    """Record sets written as JSON pages and read back: count and size survive the round trip."""
-    rows = t.recs.select((F.col("rec_id") % 4).alias("page"), F.to_json(F.struct("rec_id", "title")).alias("j"))
-    back = rows.select("page", F.from_json("j", "rec_id bigint, title string").alias("r"))
-    return back.groupBy("page").agg(F.count("r.rec_id").alias("records"), F.sum(F.length(F.coalesce("r.title", F.lit("")))).alias("title_chars"))
+    """Records written as JSON lines to the shared folder and read back by their schema: nothing is lost on the way."""
+    rows = t.recs.select("rec_id", "title", "year", "authors")
+    path = f"{Scratch(t.spark, 'records').root}/json"
+    rows.write.json(path)
+    back = t.spark.read.schema(rows.schema).json(path)
+    return back.agg(F.count("rec_id").alias("records"), F.sum(F.length(F.coalesce("title", F.lit("")))).alias("title_chars"), F.sum(F.greatest(F.coalesce(F.size("authors"), F.lit(0)), F.lit(0))).alias("authors"), F.sum(F.coalesce("year", F.lit(0))).alias("years"))
 
 
 @query(f"""SELECT severity, "check", doc_id || key AS subject FROM (SELECT doc_id, doc_id % 7 AS d FROM {_REPORTS}) JOIN (SELECT unnest(['no-stats-block', 'stats-block-unterminated', 'stats-block-unparseable', 'stats-block-unknown-key', 'stats-block-stale', 'stats-block-stale']) AS "check", unnest([0, 1, 2, 3, 4, 5]) AS w, unnest(['warn', 'error', 'error', 'warn', 'error', 'error']) AS severity, unnest(['', '', '', '>screens', '>read', '>claims']) AS key) ON d = w""")

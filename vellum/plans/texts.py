@@ -160,16 +160,6 @@ def report_uncited(t: Ledger) -> DataFrame:
     return _reports(t).select("doc_id").join(reports.citations(_reports(t)), "doc_id", "left_anti")
 
 
-@query("SELECT key, declared, actual FROM (SELECT key, n AS actual, CASE WHEN key IN ('read', 'claims') THEN n + 1 ELSE n END AS declared FROM (SELECT unnest(['identified', 'read', 'evidence', 'claims', 'contradictions']) AS key, unnest([(SELECT count(*) FROM sources), (SELECT count(read_at) FROM sources), (SELECT count(*) FROM ev), (SELECT count(*) FROM claims), (SELECT count(*) FROM contradictions)]) AS n)) WHERE declared <> actual", True)
-def stats_drift(t: Ledger) -> DataFrame:
-    """Counts a report declares (two of five altered here) against the derived ones; only declared keys are compared."""
-    from .review import QUERIES as review_queries
-
-    truth = review_queries["stats_payload"](t.spark, t.folder).filter(F.col("key").isin("identified", "read", "evidence", "claims", "contradictions"))
-    declared = truth.select("key", F.when(F.col("key").isin("read", "claims"), F.col("n") + 1).otherwise(F.col("n")).alias("declared"))
-    return declared.join(truth.withColumnRenamed("n", "actual"), "key").filter("declared <> actual")
-
-
 _MEMORY = r"""(SELECT doc_id, line, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line), 'preference') AS kind, s FROM (SELECT doc_id, line, s, CASE WHEN regexp_matches(s, '^##\s+\w+\s*$') THEN regexp_extract(s, '^##\s+(\w+)', 1) END AS h FROM (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line, unnest(a) AS s FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS a FROM documents WHERE doc_kind = 'memory'))))"""
 _ENTRY = r"^\s*-\s*\[(\d{4}-\d{2}-\d{2})\]\s*(.*?)(?:\s*\{tags:\s*([^}]*)\})?\s*$"
 _ENTRIES = f"(SELECT doc_id, line, kind, regexp_extract(s, '{_ENTRY}', 1) AS date, regexp_extract(s, '{_ENTRY}', 2) AS text, regexp_extract(s, '{_ENTRY}', 3) AS tags FROM {_MEMORY} WHERE regexp_matches(s, '^\\s*-\\s*\\[\\d{{4}}-\\d{{2}}-\\d{{2}}\\]'))"
@@ -184,9 +174,13 @@ def memory_parse(t: Ledger) -> DataFrame:
     return _entries(t)
 
 
-@query(f"SELECT kind, count(*) AS n, min(date) AS oldest, max(date) AS newest, max(length(text)) AS longest, count(*) FILTER (length(text) > 200) AS too_long FROM {_ENTRIES} WHERE text <> '' GROUP BY 1")
+@query("SELECT kind, count(date) AS n, min(date) AS oldest, max(date) AS newest, coalesce(max(length(text)), 0) AS longest, count(*) FILTER (length(text) > 200) AS too_long FROM (SELECT unnest([" + ", ".join(f"'{k}'" for k in vocab.MEMORY_KINDS) + f"]) AS kind UNION SELECT kind FROM {_ENTRIES} WHERE text <> '') k LEFT JOIN (SELECT * FROM {_ENTRIES} WHERE text <> '') e USING (kind) GROUP BY 1")
 def memory_stats(t: Ledger) -> DataFrame:
-    return _entries(t).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("oldest"), F.max("date").alias("newest"), F.max(F.length("text")).cast("bigint").alias("longest"), F.count_if(F.length("text") > vocab.MEMORY_CHARS).alias("too_long"))
+    """Every kind that there is or may be, with zeros where it has no entry."""
+    kinds = t.spark.createDataFrame([(k,) for k in vocab.MEMORY_KINDS], "kind string")
+    n = _entries(t).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("oldest"), F.max("date").alias("newest"), F.max(F.length("text")).cast("bigint").alias("longest"), F.count_if(F.length("text") > vocab.MEMORY_CHARS).alias("too_long"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return kinds.join(n, "kind", "full").select("kind", zero("n"), "oldest", "newest", zero("longest"), zero("too_long"))
 
 
 @query(f"SELECT doc_id, line, kind, date, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY date DESC, line) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY date DESC, line) AS rk FROM {_ENTRIES} WHERE text <> '') WHERE rk <= 12) WHERE place <= 40")

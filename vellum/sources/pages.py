@@ -1,4 +1,4 @@
-"""A Python data source over result pages of a catalogue: one input partition per page file, one row per record.
+"""Result pages of a catalogue, one row per record: ``read_pages`` from any file system, and a Python data source over a local folder, one input partition per page.
 
 ``spark.dataSource.register(CataloguePages)``, then ``spark.read.format("catalogue_pages").option("path", folder).load()``.
 A page is a JSON file holding an array, or an object with ``results``, ``records`` or ``sources``; a page that can't be
@@ -11,9 +11,24 @@ import json
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``(page, place, id, title, record)`` of the same pages from any file system that Spark reads, without Python workers.
+
+    A page that can't be parsed gives no rows; elements that are no objects are left out but keep their place.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("page"), F.expr("try_parse_json(value)").alias("v"))
+    lists = [F.try_variant_get("v", at, "array<variant>") for at in ("$", "$.results", "$.records", "$.sources")]
+    rows = files.select("page", F.posexplode(F.coalesce(*lists)).alias("place", "r")).filter(F.schema_of_variant("r").startswith("OBJECT"))
+    text = lambda at: F.coalesce(F.try_variant_get("r", at, "string"), F.lit(""))
+    title = F.when(text("$.title") == "", text("$.display_name")).otherwise(text("$.title"))
+    return rows.select("page", "place", text("$.id").alias("id"), title.alias("title"), F.to_json("r").alias("record"))
+
+
 class Page(InputPartition):
     def __init__(self, path: str):
         self.path = path
