@@ -132,7 +132,8 @@ def judged(documents: DataFrame, fit: Column | None = None) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession, "stuffing")
     rows = scratch.keep(features(scratch.keep(counted(documents)), scratch))
-    both = rows.join(quartiles(rows if fit is None else rows.filter(fit)), ["base_lang", "size_class"], "left")
+    classes = scratch.keep(quartiles(rows if fit is None else rows.filter(fit)))  # kept, so that its size is known before pages would be shuffled to it
+    both = rows.join(classes, ["base_lang", "size_class"], "left")
     at = {c: i for i, c in enumerate(_FIGURES)}
     q = lambda c, k: F.get(F.col("q"), F.lit(at[c]))[k]
     z = lambda c: F.coalesce((F.col(c) - q(c, "middle")) / F.greatest(q(c, "high") - q(c, "low"), F.lit(LEAST_RANGE)), F.lit(0.0))
