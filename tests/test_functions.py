@@ -117,3 +117,16 @@ def test_anomalies(make):
     df = make("recs", {"rec_id": 1}, {"rec_id": 2, "title": "T", "authors": ["A"], "url": "u", "retracted": True, "year": 2026, "citations": 301}, {"rec_id": 3, "title": "T", "authors": ["A"], "doi": "d", "year": 2091})
     got = {r["rec_id"]: r["a"] for r in df.select("rec_id", catalogue.anomalies(2026).alias("a")).collect()}
     assert got == {1: ["no-title", "no-authors", "no-locator"], 2: ["RETRACTED", "citations-year-mismatch:301@2026"], 3: ["implausible-year:2091"]}
+
+
+@pytest.mark.parametrize(
+    "dialect, both, lower, upper",
+    [
+        ("openalex", "publication_year:2015-2020", "publication_year:>2014", "publication_year:<2021"), ("s2", "2015-2020", "2015-", "-2020"),
+        ("crossref", "from-pub-date:2015-01-01,until-pub-date:2020-12-31", "from-pub-date:2015-01-01", "until-pub-date:2020-12-31"),
+        ("europepmc", "(PUB_YEAR:[2015 TO 2020])", "(PUB_YEAR:[2015 TO 2100])", "(PUB_YEAR:[1800 TO 2020])"),
+    ],
+)
+def test_year_clauses(dialect, both, lower, upper):
+    clause = catalogue.year_clause
+    assert (clause(dialect, 2015, 2020), clause(dialect, 2015, None), clause(dialect, None, 2020), clause(dialect, None, None)) == (both, lower, upper, "")

@@ -74,12 +74,22 @@ def test_funnel_of_empty_tables(make):
     assert row["identified"] == row["screened"] == row["unscreened"] == 0
 
 
-def test_similarity_join_equals_brute_force(spark):
+def test_like_any_equals_brute_force(spark):
+    r = random.Random(8)
+    sets = lambda n: [sorted({f"w{r.randrange(14)}" for _ in range(r.randrange(0, 9))}) for _ in range(n)]
+    new, stored = sets(80), sets(60)
+    got = similarity.like_any(spark.createDataFrame(list(enumerate(new)), "id long, words array<string>"), spark.createDataFrame([(x,) for x in stored], "words array<string>"), 0.6)
+    expect = [(i,) for i, x in enumerate(new) if x and any(y and len(set(x) & set(y)) >= 0.6 * len(set(x) | set(y)) - 1e-9 for y in stored)]
+    assert values(got) == sorted(expect, key=repr) and 0 < len(expect) < 80
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 3])
+def test_similarity_join_equals_brute_force(spark, hot_rows):
     r = random.Random(3)
     base = [[f"w{r.randrange(40)}" for _ in range(r.randrange(3, 14))] for _ in range(60)]
     texts = base + [b + [f"w{r.randrange(40)}"] for b in base[:30]] + base[:10] + [[], ["a"]]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    got = similarity.linked(spark.createDataFrame(rows, "id long, text string"), tokens(F.regexp_replace("text", "w", "wxy")), 0.8)
+    got = similarity.linked(spark.createDataFrame(rows, "id long, text string"), tokens(F.regexp_replace("text", "w", "wxy")), 0.8, hot_rows)
     sets = {i: frozenset(t) for i, t in enumerate(texts) if any(len("wxy" + x) > 2 for x in t) and [x for x in t if x.startswith("w")]}
     expect = []
     for i, s in sets.items():

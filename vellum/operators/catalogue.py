@@ -5,6 +5,8 @@ Missing means null or empty throughout; an empty payload gives a record of nulls
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -128,3 +130,42 @@ def one_per_work(works: DataFrame) -> DataFrame:
     """The latest delivery of each work."""
     w = W.partitionBy("id").orderBy(F.desc_nulls_last("received_at"), F.desc("delivery_id"))
     return works.filter("id is not null").withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+def works_predicate(first: int | None = None, last: int | None = None, kinds: Sequence[str] = (), open_access: bool = False, peer_reviewed: bool = False, words: str | None = None) -> Column:
+    """One condition on records, from the options of a search; it is built from comparisons that reach the scan.
+
+    Never retracted works; years from ``first`` to ``last`` (either may be open; a work without a year fails a bound); one of ``kinds``; with a copy that is free to read; no preprint by kind
+    or venue; all ``words`` in the title or the abstract, whatever their case.  Without options only retracted works are left out.
+    """
+    p = ~F.coalesce(F.col("retracted"), F.lit(False))
+    if first is not None:
+        p = p & (F.col("year") >= first)
+    if last is not None:
+        p = p & (F.col("year") <= last)
+    if kinds:
+        p = p & F.col("kind").isin(*kinds)
+    if open_access:
+        p = p & F.coalesce(present(F.col("oa_url")), F.lit(False))
+    if peer_reviewed:
+        p = p & ~F.coalesce(is_preprint(F.col("venue")), F.lit(False)) & (F.coalesce("kind", F.lit("")) != "preprint")
+    for w in (words or "").lower().split():
+        p = p & (F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit(w)) | F.contains(F.lower(F.coalesce("abstract", F.lit(""))), F.lit(w)))
+    return F.coalesce(p, F.lit(False))
+
+
+def year_clause(dialect: str, first: int | None, last: int | None) -> str:
+    """A range of years as a catalogue spells it; '' without bounds.  Only one side is bounded in ``a-`` and ``-b``; the fourth needs both and takes 1800 and 2100."""
+    if first is None and last is None:
+        return ""
+    if dialect == "openalex":
+        if first is not None and last is not None:
+            return f"publication_year:{first}-{last}"
+        return f"publication_year:>{first - 1}" if first is not None else f"publication_year:<{last + 1}"
+    if dialect == "s2":
+        return f"{'' if first is None else first}-{'' if last is None else last}"
+    if dialect == "crossref":  # one parameter, its parts joined with commas
+        return ",".join([f"from-pub-date:{first}-01-01"] * (first is not None) + [f"until-pub-date:{last}-12-31"] * (last is not None))
+    if dialect == "europepmc":
+        return f"(PUB_YEAR:[{1800 if first is None else first} TO {2100 if last is None else last}])"
+    raise ValueError(f"no such catalogue: {dialect}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import vocab
-from ..functions.text import has_figure, prose
+from ..functions.text import has_figure, normalised, prose, similarity, tokens
 
 FIGURE_EXEMPT = r"^[#|>]"
 
@@ -91,3 +91,24 @@ def counts_findings(reports: DataFrame, truth: DataFrame, opens: str = COUNTS_OP
     named = F.concat_ws(">", doc, "key")
     out = out.unionByName(finding(each.filter("n is null"), "warn", "stats-block-unknown-key", named))
     return out.unionByName(finding(each.filter("n is not null and not coalesce(try_cast(value as double) = n, false)"), "error", "stats-block-stale", named))
+
+
+def memory_edits(entries: DataFrame, edits: DataFrame) -> DataFrame:
+    """``(doc_id, op, hits, outcome, entries, changed)``: what an edit does to its memory file; ``edits (doc_id, op, target, text, every)``, one per file.
+
+    ``replace`` changes the one entry that holds the target, whatever its case, or equals it to 0.8 or more in words; ``forget`` removes the one that holds it, or all
+    with ``every``.  Outcomes: ``no-target`` (or, to replace, no new text), ``no-match``, ``ambiguous`` (several, nothing is done), ``done``.  ``entries`` are
+    those left, ``changed`` the line replaced, null else.  A file without entries matches nothing; an edit of null kind is left out.
+    """
+    target, text = normalised(F.coalesce("target", F.lit(""))), normalised(F.coalesce("text", F.lit("")))
+    edits = edits.filter(F.col("op").isin("replace", "forget")).select("doc_id", "op", target.alias("target"), text.alias("new"), F.coalesce("every", F.lit(False)).alias("every"))
+    rows = edits.join(entries.select("doc_id", "line", "text"), "doc_id", "left")
+    holds = F.contains(F.lower("text"), F.lower("target")) & (F.col("target") != "")
+    alike = (F.col("op") == "replace") & (similarity(tokens(F.col("text")), tokens(F.col("target"))) >= vocab.SAME_ENTRY)
+    hit = F.coalesce((holds | alike) & F.col("line").isNotNull(), F.lit(False))
+    g = rows.withColumn("hit", hit).groupBy("doc_id", "op", "target", "new", "every").agg(F.count_if("hit").alias("hits"), F.count("line").alias("n"), F.min(F.when(F.col("hit"), F.col("line"))).alias("line"))
+    replace = F.col("op") == "replace"
+    outcome = F.when((F.col("target") == "") | replace & (F.col("new") == ""), "no-target").when(F.col("hits") == 0, "no-match").when((F.col("hits") > 1) & ~(~replace & F.col("every")), "ambiguous").otherwise("done")
+    g = g.withColumn("outcome", outcome)
+    done = F.col("outcome") == "done"
+    return g.select("doc_id", "op", "hits", "outcome", (F.col("n") - F.when(done & ~replace, F.col("hits")).otherwise(0)).alias("entries"), F.when(done & replace, F.col("line")).alias("changed"))

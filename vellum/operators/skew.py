@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import shared
@@ -56,3 +56,19 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], sprea
     last = F.coalesce(F.col("_salts") - 1, F.lit(0))
     right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def salted_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: str, on: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of two tables that may both have many rows of a key, restricted by ``on`` while they are joined.
+
+    A key that is hot on the left is spread over salts taken from the hash of ``spread_by`` there; the right's rows of it are repeated once per salt.
+    """
+    keys = list(keys)
+    hot = hot_keys(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, hot_rows)
+    if hot is None:
+        return left.join(right, keys).filter(on)
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int"), F.lit(0))
+    spread = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    last = F.coalesce(F.col("_salts") - 1, F.lit(0))
+    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
+    return spread.join(repeated, [*keys, "_salt"]).filter(on).drop("_salt")

@@ -132,10 +132,22 @@ def anomaly_flags(t: Ledger) -> DataFrame:
     return t.recs.select("rec_id", F.array_join(catalogue.anomalies(THIS_YEAR), ",").alias("flags"))
 
 
-@query("SELECT rec_id, title, year, kind FROM recs WHERE year BETWEEN 2015 AND 2022 AND coalesce(retracted, false) = false AND oa_url IS NOT NULL AND kind IN ('article', 'review')")
+#: Searches with different options: name, arguments of the predicate, the same in SQL.
+_OPEN = "coalesce(oa_url, '') <> ''"
+_REVIEWED = "NOT coalesce(regexp_matches(lower(venue), '" + "|".join(v.replace(".", r"\.") for v in vocab.PREPRINT_VENUES) + "'), false) AND coalesce(kind, '') <> 'preprint'"
+_SEARCHES = (
+    ("all", {}, "true"),
+    ("both", {"first": 2015, "last": 2022, "kinds": ("article", "review"), "open_access": True}, f"year BETWEEN 2015 AND 2022 AND kind IN ('article', 'review') AND {_OPEN}"),
+    ("lower", {"first": 2018, "peer_reviewed": True}, f"year >= 2018 AND {_REVIEWED}"),
+    ("upper", {"last": 2012, "words": "The training"}, "year <= 2012 AND (contains(lower(coalesce(title, '')), 'the') OR contains(lower(coalesce(abstract, '')), 'the')) AND (contains(lower(coalesce(title, '')), 'training') OR contains(lower(coalesce(abstract, '')), 'training'))"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS search, rec_id, title, year, kind FROM recs WHERE coalesce(retracted, false) = false AND {w}" for n, _, w in _SEARCHES))
 def filter_works(t: Ledger) -> DataFrame:
-    p = F.col("year").between(2015, 2022) & ~F.coalesce("retracted", F.lit(False)) & F.col("oa_url").isNotNull() & F.col("kind").isin("article", "review")
-    return t.recs.filter(p).select("rec_id", "title", "year", "kind")
+    """The records that searches with different options find, in one pass over them."""
+    hits = F.array_compact(F.array(*[F.when(catalogue.works_predicate(**o), F.lit(n)) for n, o, _ in _SEARCHES]))
+    return t.recs.select(F.explode(hits).alias("search"), "rec_id", "title", "year", "kind")
 
 
 @query("SELECT CAST(year AS VARCHAR) AS key, count(*) AS n, (SELECT count(*) FROM recs) AS total FROM recs WHERE year IS NOT NULL GROUP BY 1 ORDER BY n DESC, key LIMIT 60")

@@ -226,6 +226,20 @@ def memory_fold_similar(t: Ledger) -> DataFrame:
     return e.select("doc_id", "line", "fold_line", "near").join(kept, ["doc_id", "fold_line"])
 
 
+_EDITS = f"(SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'replace' ELSE 'forget' END AS op, doc_id % 3 = 0 AS every, trim(regexp_replace(regexp_replace(regexp_replace(substr(arg_min(text, line), 1, CAST(4 + 9 * (doc_id % 4) AS INTEGER)), '\\s+', ' ', 'g'), '^[-*•\\s]+', ''), '\\s+([,.;:])', '\\1', 'g')) AS target FROM {_ENTRIES} WHERE text <> '' GROUP BY 1)"
+_LIKE = f"(op = 'replace' AND len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) >= {vocab.SAME_ENTRY})"
+
+
+@query(f"""SELECT doc_id, op, hits, CASE WHEN target = '' THEN 'no-target' WHEN hits = 0 THEN 'no-match' WHEN hits > 1 AND NOT (op = 'forget' AND every) THEN 'ambiguous' ELSE 'done' END AS outcome,
+ n - CASE WHEN op = 'forget' AND (hits = 1 OR (hits > 1 AND every)) THEN hits ELSE 0 END AS entries, CASE WHEN op = 'replace' AND hits = 1 THEN line END AS changed
+ FROM (SELECT doc_id, op, target, every, count(*) FILTER (hit) AS hits, count(*) AS n, min(line) FILTER (hit) AS line FROM (SELECT *, (target <> '' AND contains(lower(text), lower(target))) OR {_LIKE} AS hit FROM (SELECT x.*, e.line, e.text, {_TOKENS.format('e.text')} AS a, {_TOKENS.format('target')} AS b FROM {_EDITS} x JOIN (SELECT * FROM {_ENTRIES} WHERE text <> '') e USING (doc_id))) GROUP BY 1, 2, 3, 4)""")
+def memory_edit(t: Ledger) -> DataFrame:
+    """What an edit of each memory file does: to replace or to forget the entry that holds the beginning (of a length by the file's number) of the file's first one."""
+    first = _entries(t).groupBy("doc_id").agg(F.min_by("text", "line").alias("first"))
+    edits = first.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "replace").otherwise("forget").alias("op"), F.expr("substring(first, 1, cast(4 + 9 * (doc_id % 4) as int))").alias("target"), F.lit("A new lesson").alias("text"), (F.col("doc_id") % 3 == 0).alias("every"))
+    return reports.memory_edits(_entries(t), edits)
+
+
 def _nodes(t: Ledger) -> DataFrame:
     return t.oa_works.filter("id is not null").select("id", F.coalesce("work_type", F.lit("unknown")).alias("type")).groupBy("id").agg(F.min("type").alias("type"))
 
