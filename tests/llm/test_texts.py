@@ -54,7 +54,7 @@ def test_repeated_keys_and_sources(make):
     evidence = make("evidence", {"id": "E1", "quote": SENT, "source": "S1"}, {"id": "E1", "quote": SENT[:30] + "…", "source": "S1"}, {"id": "E2", "quote": SENT, "source": "S9"}, {"id": None, "quote": SENT[:30]}, {"id": "E3"})
     sources = make("sources", {"id": "S1", "source_api": "s2+OpenAlex"}, {"id": "S1", "source_api": "s2+OpenAlex"})
     assert values(truncation.found(make("recs"), evidence, sources)) == [("evidence", "E1")]
-    assert values(truncation.shares(make("recs"), evidence, sources)) == sorted([("evidence", "openalex", 1, 1, 1.0), ("evidence", "s2", 1, 1, 1.0), ("evidence", "unknown", 1, 0, 0.0)], key=repr)
+    assert values(truncation.shares(make("recs"), evidence, sources)) == sorted([("evidence", "openalex", 1, 1, 1.0, None), ("evidence", "s2", 1, 1, 1.0, None), ("evidence", "unknown", 1, 0, 0.0, None)], key=repr)
     assert truncation.found(make("recs"), make("evidence"), make("sources")).count() == 0
 
 
