@@ -47,3 +47,23 @@ def test_recall_of_shared_passages_against_brute_force(make, shared, figures):
     got = set(values(leakage.found(make("documents", *docs).select("doc_id", "text"), make("eval_items", *items))))
     truth = {(d["doc_id"], i["item_id"]) for d in docs for i in items if i["passage"].lower() in d["text"].lower()}
     assert got == truth and len(truth) == 2 * shared
+
+
+@pytest.mark.parametrize("shared", [3, 5, 40])
+def test_an_edited_passage_of_overlapping_items_is_found_for_all(make, shared):
+    """No q-gram of the run is rare and no window of it has fewer than two edits; still every item with these figures is looked at."""
+    text = PLAIN + " They counted 417 boats and 39 riders in 1987 before the gates were closed again for the long winter that was to follow."
+    rows = pd.read_parquet(DATA / "eval_items.parquet").to_dict("records")[:shared]
+    items = [{"item_id": k, "passage": text + " " + r["passage"]} for k, r in enumerate(rows)]
+    edited = "".join("x" if n % 34 == 20 and c.isalpha() else c for n, c in enumerate(text))
+    other = edited.replace("417", "418").replace("39", "38").replace("1987", "1988")
+    got = values(leakage.found(make("documents", {"doc_id": 1, "text": "Before. " + edited}, {"doc_id": 2, "text": other}).select("doc_id", "text"), make("eval_items", *items)))
+    assert sorted(got) == [(1, k) for k in range(shared)]
+
+
+def test_texts_scanned_together_do_not_matter():
+    items = pd.read_parquet(DATA / "eval_items.parquet")
+    index = leakage.Index([(int(i), t) for i, p, q in zip(items.item_id, items.passage, items.question) for t in (p, q)])
+    texts = [t for t in pd.read_parquet(DATA / "documents.parquet").text if t is not None]
+    alone = {(k, i) for k, t in enumerate(texts) for _, i in index.scan([t])}
+    assert alone and set(index.scan(texts)) == alone == {(k, i) for k, i in ((d - 1, i) for d, i in index.scan(["x" * 7, *texts]))}

@@ -5,15 +5,17 @@ q-grams is what the tasks receive.  Every document is scanned whole:
 
 1. Text is folded to 37 symbols (letters without marks, digits, a gap), so a q-gram is an exact 32-bit number.
 2. A window of WINDOW symbols with at most EDITS edits keeps at least WINDOW + 1 - q - q * EDITS of its q-grams (the lemma).
-   Windows in which fewer q-grams occur in the index at all are dropped; this leaves few regions.  Parts of items
-   of which rare q-grams (of a name, or of a figure and the words beside it) occur in or beside a region are looked at there,
-   and in regions that hold a window with at most one edit all parts that share such a window.  Equal parts are one part, with all
-   their items; rarity and names are counted over the distinct parts of all blocks.
+   Windows in which fewer q-grams occur in the index at all are dropped; this leaves few regions.  In a region all parts are looked at
+   that step 4 can confirm there, however many share its words: those with a name that stands in or beside it, and those with enough q-grams on
+   neighbouring diagonals in a run that either holds figures, enough of which stand nearby, or is long enough without any.  In regions that hold
+   a window with at most one edit all parts that share such a window are compared as well.  Equal parts are one part, with all
+   their items; names are counted over the distinct parts of all blocks.
 3. In the regions each shared q-gram of these parts gives a diagonal (place in the document less place in the item).  Shared q-grams are
    counted in overlapping bands of BAND diagonals; an item's band is kept where some window of it meets the bound.
 4. Each kept region is verified by an alignment restricted to its band: at most RATE of the symbols may differ, and the
    words that tell items apart (names that at most NAME_ITEMS items have, and figures) have to agree.  Sentences with the same turns of phrase
-   about other names and figures fail there.  A run without such words has to be a whole part or RUN_WORDS words, all but unchanged.
+   about other names and figures fail there.  A run without a name has to be a whole sentence or RUN_WORDS words with the same figures; one without
+   figures, too, a whole part or RUN_WORDS words, all but unchanged.
 
 No shuffle is needed besides removing repeated pairs.  Nothing of the documents is sent to the driver.
 
@@ -36,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q, WINDOW, EDITS, BAND, RATE, NAME_ITEMS = 6, 84, 4, 16, 0.22, 2
-#: A q-gram that at most RARE distinct parts of all items have tells them apart; TOLD of a part's have to occur in a region or within REACH of it.
-RARE, REACH, TOLD = 4, 80, 2
+#: How far beside a run its names and figures may stand.
+REACH = 80
 #: The rate for a run without a name, and how far around it another name in the name's place is looked for.
 STRICT, SENTENCE = 0.08, 200
 #: The rate for a run with neither names nor figures that tell it apart, and the words that it has to hold unless it is a whole part.
@@ -49,10 +51,17 @@ NEED = WINDOW + 1 - Q - Q * EDITS
 CLOSE = WINDOW + 1 - Q - Q
 #: A window holds five whole runs of STRIDE q-grams, and one edit touches at most two neighbours of them; two of the rest lie on one diagonal.
 STRIDE = (WINDOW + 1 - Q) // 6
+#: A window holds 15 whole runs of CELL q-grams; an edit touches at most two of them, so FEWEST are kept whole.
+CELL = 5
+FEWEST = (WINDOW + 1 - Q - (CELL - 1)) // CELL - 2 * EDITS
+#: Hits, and cells of a table of regions and parts, that are held at once.
+HITS, TABLE = 250_000, 1_000_000
 GAP, STOP = 0, 37
 #: Stops between texts: more than a region and its surroundings span, so that no text affects what is found in its neighbours.
 PAD = WINDOW + REACH + Q + 6
 _BITS = 22
+_LETTERS = b" abcdefghijklmnopqrstuvwxyz0123456789".ljust(256)
+_FIGURE = re.compile(r"(?<!\S)\d+(?!\S)")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});")
 _BROKEN = re.compile("[ÂÃ][\u0080-¿]|â€[‘-™\u0090-¿]")
@@ -124,6 +133,28 @@ def _slot(g: np.ndarray) -> np.ndarray:
     return (g * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
 
 
+def _starts(at: np.ndarray, count: int, span: int) -> np.ndarray:
+    """The places ``at`` from which ``count`` of them lie within ``span``."""
+    n = max(0, len(at) - count + 1)
+    return at[:n][at[count - 1 :] - at[:n] < span]
+
+
+def _in_bands(pair: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of two overlapping sets of bands: the order of hits by pair and band, the number of each one's band, and its pair."""
+    for shift in (0, BAND // 2):
+        band = (diagonal + shift) // BAND
+        band -= band.min(initial=0)
+        width = int(band.max(initial=0)) + 1
+        key, bits = pair.astype(np.int64) * width + band, len(pair).bit_length()
+        if int(key.max(initial=0)) >> (62 - bits):
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        else:  # sorted with their places, which is much faster
+            key = np.sort((key << bits) | np.arange(len(key)))
+            order, key = key & ((1 << bits) - 1), key >> bits
+        yield order, key, pair[order]
+
+
 def _touches_stop(sym: np.ndarray, n: int) -> np.ndarray:
     bad = np.concatenate([[0], np.cumsum(sym == STOP)])
     return (bad[Q : n + Q] - bad[:n]) > 0
@@ -138,8 +169,8 @@ def distinct(parts: list[tuple[int, str]] | list[tuple[tuple[int, ...], str]]) -
     return [(tuple(sorted(items)), text) for items, text in held.values()]
 
 
-def telling(parts: list[tuple[tuple[int, ...], str]]) -> tuple[set[str], np.ndarray]:
-    """The names that at most NAME_ITEMS items have, and the q-grams that more than RARE of the distinct ``parts`` have.
+def telling(parts: list[tuple[tuple[int, ...], str]]) -> set[str]:
+    """The names that at most NAME_ITEMS items have, over the distinct ``parts``.
 
     Items with the same longest part, as several questions on one passage, count as one.
     """
@@ -154,20 +185,15 @@ def telling(parts: list[tuple[tuple[int, ...], str]]) -> tuple[set[str], np.ndar
         for w in set(Index.text(sym, begin[k], begin[k + 1] - PAD).split()):
             if len(w) >= 4 and not any(c.isdigit() for c in w):
                 owners.setdefault(w, set()).update(longest[i] for i in items)
-    g = grams(sym)
-    part = np.searchsorted(begin, np.arange(len(g)), "right") - 1
-    inside = (part >= 0) & ~_touches_stop(sym, len(g))
-    pairs = np.unique((g[inside].astype(np.uint64) << np.uint64(32)) | part[inside].astype(np.uint64))
-    gram, n = np.unique((pairs >> np.uint64(32)).astype(np.uint32), return_counts=True)
-    return {w for w, o in owners.items() if len(o) <= NAME_ITEMS}, gram[n > RARE]
+    return {w for w, o in owners.items() if len(o) <= NAME_ITEMS}
 
 
 class Index:
     """The q-grams of the distinct parts (passage, question) of a block of items; ``told`` is what ``telling`` says of all blocks."""
 
-    def __init__(self, parts: list[tuple[int, str]] | list[tuple[tuple[int, ...], str]], told: tuple[set[str], np.ndarray] | None = None):
+    def __init__(self, parts: list[tuple[int, str]] | list[tuple[tuple[int, ...], str]], told: set[str] | None = None):
         parts = distinct(parts)
-        names, common = told or telling(parts)
+        names = telling(parts) if told is None else told
         self.items = [items for items, _ in parts]
         self.sym, self.begin = fold([t for _, t in parts])
         g = grams(self.sym)
@@ -176,17 +202,87 @@ class Index:
         pos = np.flatnonzero(inside)
         order = np.argsort(g[pos], kind="stable")
         self.pos, self.part = pos[order].astype(np.int64), part[pos][order].astype(np.int32)
+        self.within = self.pos - self.begin[self.part]
         self.gram, self.first, self.count = np.unique(g[pos][order], return_index=True, return_counts=True)
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[_slot(self.gram)] = True
-        self.rare = ~np.isin(self.gram, common)
         self.words = [self.text(self.sym, self.begin[k], self.begin[k + 1] - PAD).split() for k in range(len(parts))]
         self.names = names
         self.sentence = [np.repeat(np.arange(len(n)), n) for n in (_words_by_sentence(t) for _, t in parts)]
+        self._tell()
+
+    def _tell(self) -> None:
+        """Where names, figures, words and sentences of the parts stand, and what the q-grams of runs without figures have to show."""
+        inner = (self.sym != GAP) & (self.sym != STOP)
+        starts = inner & ~np.append(False, inner[:-1])
+        self.begun = np.append(0, np.cumsum(starts))  # words that begin before each place
+        place = np.arange(len(self.sym))
+        self.back = np.maximum.accumulate(np.where(np.append(True, ~inner[:-1]), place, 0))  # to whole words, as in _verify
+        self.on = np.append(np.minimum.accumulate(np.where(inner, len(inner), place)[::-1])[::-1], len(inner))
+        first = [int(self.begun[b]) for b in self.begin[:-1]]
+        self.sentence_from = np.array([f + x for f, of in zip(first, self.sentence) for x in np.searchsorted(of, np.unique(of))], np.int64)
+        self.sentence_to = np.array([f + x for f, of in zip(first, self.sentence) for x in np.searchsorted(of, np.unique(of), "right")], np.int64)
+        self.called: dict[str, list[int]] = {}
+        self.figure: dict[str, int] = {}
+        part, place, figure, free, need, span = [], [], [], np.full(len(self.sym), -1, np.int32), [], []
+        for k, words in enumerate(self.words):
+            low, high = int(self.begin[k]), int(self.begin[k + 1]) - PAD
+            begins = [low + m.start() for m in re.finditer(r"\S+", self.text(self.sym, low, high))]
+            for w in set(words) & self.names:
+                self.called.setdefault(w, []).append(k)
+            at = [i for i, w in enumerate(words) if w.isdigit()]
+            for i in at:
+                part.append(k), place.append(begins[i]), figure.append(self.figure.setdefault(words[i], len(self.figure)))
+            for i, j in zip([0, *(x + 1 for x in at)], [*at, len(words)]):
+                least = min(RUN_WORDS, len(words))
+                if j - i < max(1, least):
+                    continue
+                close = [begins[x] + len(words[x]) for x in range(i, j)]
+                size = min(close[x + least - 1] - begins[i + x] for x in range(j - i - least + 1))
+                # a run of at least this size has a window of the size with no more edits than these
+                edits = int(min(EXACT * (close[-1] - begins[i]), 2 * EXACT * size))
+                free[begins[i] : close[-1]] = len(need)
+                need.append(max(1, (size + 1 - Q - edits - (CELL - 1)) // CELL - 2 * edits)), span.append(size + edits - Q)
+        self.figure_part, self.figure_at, self.figure_of = (np.array(x, np.int64) for x in (part, place, figure))
+        order = np.argsort(self.figure_of, kind="stable")
+        edge = np.searchsorted(self.figure_of[order], np.arange(len(self.figure) + 1))
+        self.figure_parts = [np.unique(self.figure_part[order[a:b]]) for a, b in zip(edge[:-1], edge[1:])]
+        self.free, self.need, self.span = free[self.pos], np.array(need, np.int64), np.array(span, np.int64)
+        self.ends: dict[str, list[str]] = {}
+        for w in self.called:
+            if len(w) >= 5:
+                for key in {"<" + w[:3], ">" + w[-3:]}:
+                    self.ends.setdefault(key, []).append(w)
+        self.heard: dict[str, tuple[int, ...]] = {}
+
+    def _whole_sentence(self, first, last):
+        """Whether the words from ``first`` to before ``last``, counted over all parts, hold a whole sentence."""
+        k = np.minimum(np.searchsorted(self.sentence_from, first), len(self.sentence_from) - 1)
+        return (self.sentence_from[k] >= first) & (self.sentence_to[k] <= last)
+
+    def _hears(self, word: str) -> tuple[int, ...]:
+        """The parts with a name that ``word`` is, or nearly is."""
+        got = self.heard.get(word)
+        if got is None:
+            names = {w for key in ("<" + word[:3], ">" + word[-3:]) for w in self.ends.get(key, ()) if _near(w, word)} | ({word} & self.called.keys())
+            if len(self.heard) > 200_000:
+                self.heard.clear()
+            got = self.heard[word] = tuple(sorted({k for w in names for k in self.called[w]}))
+        return got
 
     @staticmethod
     def text(sym: np.ndarray, a: int, b: int) -> str:
-        return bytes(np.frombuffer(b" abcdefghijklmnopqrstuvwxyz0123456789  ", np.uint8)[sym[max(0, a) : max(0, b)]]).decode()
+        return sym[max(0, a) : max(0, b)].tobytes().translate(_LETTERS).decode()
+
+    @staticmethod
+    def whole_words(sym: np.ndarray, a: int, b: int) -> tuple[int, int]:
+        """``a`` and ``b`` moved outwards to the ends of words."""
+        a, b = max(0, a), min(len(sym), b)
+        while a > 0 and sym[a - 1] != GAP and sym[a - 1] != STOP:
+            a -= 1
+        while b < len(sym) and sym[b] != GAP and sym[b] != STOP:
+            b += 1
+        return a, b
 
     def scan(self, texts: list[str]) -> list[tuple[int, int]]:
         """``(place in texts, item)`` of each text that holds part of an item."""
@@ -196,82 +292,163 @@ class Index:
         g = grams(sym)
         if len(g) < WINDOW:
             return []
-        maybe = self.bits[_slot(g)]
-        at = np.flatnonzero(maybe)
+        at = np.flatnonzero(self.bits[_slot(g)])
         k = np.searchsorted(self.gram, g[at])
         k[k == len(self.gram)] = 0
         sure = self.gram[k] == g[at]
         at, k = at[sure], k[sure]
-        known = np.zeros(len(g) + 1, np.int32)
-        known[at + 1] = 1
-        run = np.cumsum(known)
         span = WINDOW - Q + 1
-        dense = np.flatnonzero(run[span:] - run[:-span] >= NEED)
+        # a dense window stays dense when it is moved on to its first known q-gram
+        dense = _starts(at, NEED, span)
         if not len(dense):
             return []
         cut = np.flatnonzero(np.diff(dense) > span) + 1
         begins, ends = dense[np.append(0, cut)], dense[np.append(cut - 1, len(dense) - 1)] + span
-        few = self.rare[k]
-        rare_at, rare_k = at[few], k[few]
-        low, high = np.searchsorted(rare_at, begins - REACH), np.searchsorted(rare_at, ends + REACH)
-        out: set[tuple[int, int]] = set()
-        close = np.append(0, np.cumsum(run[span:] - run[:-span] >= CLOSE))
-        whole = close[ends - span + 1] > close[begins]  # only then can a run without telling words be near enough
-        least = np.minimum.reduceat((self.count[k].astype(np.int64) << 32) + np.arange(len(k)), np.flatnonzero(np.append(True, np.diff(at // STRIDE) > 0))) & 0xFFFFFFFF
-        least_at, least_k = at[least], k[least]
+        inside = (at >= begins[0]) & (at < ends[np.maximum(0, np.searchsorted(begins, at, "right") - 1)])
+        at, k = at[inside], k[inside]
+        close = _starts(at, CLOSE, span)
+        whole = np.searchsorted(close, ends) > np.searchsorted(close, begins)  # only then can a run be compared straight
+        parts = self._looked_at(sym, at, k, begins, ends)  # of each region by a name, otherwise, and figures with their places
+        out = self._bands(sym, begin, at, k, begins, parts)
+        least_at, least_k = self._least(at, k, begins, STRIDE)
         first, last = np.searchsorted(least_at, begins), np.searchsorted(least_at, ends)
-        for r in np.flatnonzero((high > low) | whole):
-            parts = self._told(rare_k[low[r] : high[r]])
-            lo, hi = np.searchsorted(at, [begins[r], ends[r]])
-            if len(parts):
-                out |= self._region(sym, begin, at[lo:hi], k[lo:hi], parts)
-            if whole[r]:
-                out |= self._same(sym, begin, least_at[first[r] : last[r]], least_k[first[r] : last[r]], int(at[lo]), int(at[hi - 1]) + Q, out)
+        low, high = np.searchsorted(at, begins), np.searchsorted(at, ends) - 1
+        for r in np.flatnonzero(whole):
+            out |= self._same(sym, begin, least_at[first[r] : last[r]], least_k[first[r] : last[r]], int(at[low[r]]), int(at[high[r]]) + Q, out)
         return sorted({(d, i) for d, which in out for i in self.items[which]})
 
-    def _told(self, k: np.ndarray) -> np.ndarray:
-        """The parts that TOLD of the rare q-grams ``k`` are of."""
+    def _least(self, at: np.ndarray, k: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least frequent of the q-grams ``k`` in each run of ``size`` places, from the beginning of each region, so that texts scanned together don't matter."""
+        region = np.searchsorted(begins, at, "right") - 1
+        new = np.append(True, (np.diff((at - begins[region]) // size) != 0) | (np.diff(region) > 0))
+        least = np.minimum.reduceat((self.count[k].astype(np.int64) << 32) + np.arange(len(k)), np.flatnonzero(new)) & 0xFFFFFFFF
+        return at[least], k[least]
+
+    def _looked_at(self, sym: np.ndarray, at: np.ndarray, k: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """The parts of which a run may be confirmed in each region: by a name, and by figures or without either; the figures in and beside regions with their places, sorted."""
+        named, others = [], [np.zeros(0, np.int64)] * len(begins)
+        region, figure, place = [], [], []
+        for r, (x, y) in enumerate(zip(begins.tolist(), ends.tolist())):
+            x, y = self.whole_words(sym, x - BAND - REACH, y + Q + BAND + REACH)
+            text = self.text(sym, x, y)
+            named.append(np.array(sorted({p for w in set(text.split()) for p in self._hears(w)}), np.int64))
+            for m in _FIGURE.finditer(text):
+                f = self.figure.get(m[0])
+                if f is not None:
+                    region.append(r), figure.append(f), place.append(x + m.start())
+        cell_at, cell_k = self._least(at, k, begins, CELL)
+        for r0, r1, a, b in self._chunks(cell_at, cell_k, begins):
+            f0, f1 = np.searchsorted(region, [r0, r1])
+            r, p = self._by_cells(cell_at[a:b], cell_k[a:b], begins[r0:r1], [x - r0 for x in region[f0:f1]], figure[f0:f1])
+            edge = np.searchsorted(r, np.arange(r1 - r0 + 1))
+            others[r0:r1] = [p[x:y] for x, y in zip(edge[:-1], edge[1:])]
+        return named, others, np.unique((np.array(figure, np.int64) << 32) + np.array(place, np.int64))
+
+    def _chunks(self, at: np.ndarray, k: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Regions ``r0..r1`` with their q-grams ``a..b``, so many at once as HITS and TABLE allow (and at least one)."""
+        edge = np.append(np.searchsorted(at, begins), len(at))
+        hits = np.append(0, np.cumsum(self.count[k]))[edge]
+        few, r0 = max(1, TABLE // len(self.items)), 0
+        while r0 < len(begins):
+            r1 = min(len(begins), r0 + few, max(r0 + 1, int(np.searchsorted(hits, hits[r0] + HITS, "right")) - 1))
+            yield r0, r1, int(edge[r0]), int(edge[r1])
+            r0 = r1
+
+    def _entries(self, at: np.ndarray, k: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places in the index of all parts' q-grams ``k``, and of each the number of its region and part, and its place in the region."""
         n = self.count[k]
-        if n.sum() < TOLD:
-            return np.zeros(0, np.int32)
-        parts, times = np.unique(self.part[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k], n)], return_counts=True)
-        return parts[times >= TOLD]
+        entry = np.repeat((self.first[k] - np.cumsum(n) + n).astype(np.int32), n)
+        entry += np.arange(len(entry), dtype=np.int32)
+        region = np.searchsorted(begins, at, "right") - 1
+        pair = np.repeat((region * len(self.items)).astype(np.int32), n)
+        pair += self.part[entry]
+        return entry, pair, np.repeat((at - begins[region]).astype(np.int32), n)
 
-    def _region(self, sym: np.ndarray, begin: np.ndarray, at: np.ndarray, k: np.ndarray, parts: np.ndarray) -> set[tuple[int, int]]:
-        """``(text, part)`` confirmed in one region, whose known q-grams ``k`` are at ``at``, among ``parts``."""
+    def _by_cells(self, at: np.ndarray, k: np.ndarray, begins: np.ndarray, region: list[int], figure: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The regions and parts where enough of the cells' q-grams lie on neighbouring diagonals, and a figure of the part stands there or the run is long without any.
+
+        ``figure`` are the figures in and beside each ``region``.
+        """
+        parts = len(self.items)
+        table = np.zeros((len(begins), parts), bool)
+        for r, f in zip(region, figure):
+            table[r, self.figure_parts[f]] = True
+        entry, pair, at = self._entries(at, k, begins)
+        table = table.ravel()
+        hit = np.flatnonzero(table[pair])
+        told, other = pair[hit], np.flatnonzero(self.free[entry] >= 0)
+        told = hit[np.bincount(told, minlength=len(table))[told] >= FEWEST]
+        free = pair[other]
+        free = other[np.bincount(free, minlength=len(table))[free] >= self.need.min(initial=FEWEST)]
+        got = [np.zeros(0, np.int64)]
+        for order, ks, pairs in _in_bands(pair[told], at[told] - self.within[entry[told]]):
+            ps, m = at[told[order]], max(0, len(told) - FEWEST + 1)
+            got.append(pairs[:m][(ks[FEWEST - 1 :] == ks[:m]) & (ps[FEWEST - 1 :] - ps[:m] <= WINDOW - Q)])
+        for order, ks, pairs in _in_bands(pair[free], at[free] - self.within[entry[free]]):
+            ps, run = at[free[order]], self.free[entry[free[order]]]
+            to = np.arange(len(ks)) + self.need[run] - 1
+            by = np.flatnonzero(to < len(ks))
+            to = to[by]
+            got.append(pairs[by[(ks[to] == ks[by]) & (run[to] == run[by]) & (ps[to] - ps[by] <= self.span[run[by]])]])
+        return np.divmod(np.unique(np.concatenate(got)), parts)
+
+    def _bands(self, sym: np.ndarray, begin: np.ndarray, at: np.ndarray, k: np.ndarray, begins: np.ndarray, looked: tuple[list[np.ndarray], list[np.ndarray], np.ndarray]) -> set[tuple[int, int]]:
+        """``(text, part)`` confirmed among the parts that are looked at in each region, whose known q-grams ``k`` are at ``at``."""
+        named, others, figures = looked
+        some = np.array([len(x) + len(y) > 0 for x, y in zip(named, others)])
+        inside = some[np.searchsorted(begins, at, "right") - 1]
+        at, k, begins = at[inside], k[inside], begins[some]
+        named, others = [x for x, y in zip(named, some) if y], [x for x, y in zip(others, some) if y]
         out: set[tuple[int, int]] = set()
-        n = self.count[k]
-        ends = np.cumsum(n)
-        entry = np.arange(ends[-1]) + np.repeat(self.first[k] - ends + n, n)
-        part = self.part[entry]
-        wanted = np.zeros(len(self.items), bool)
-        wanted[parts[np.bincount(part, minlength=len(self.items))[parts] >= NEED]] = True
-        told = np.flatnonzero(wanted[part])
-        if not len(told):
-            return out
-        p, ipos, part = at[np.searchsorted(ends, told, "right")], self.pos[entry[told]], part[told]
-        for shift in (0, BAND // 2):  # overlapping bands
-            key = part.astype(np.int64) * (1 << 42) + (p - ipos + shift) // BAND + (1 << 41)
-            order = np.lexsort((p, key))
-            ks, ps, ip = key[order], p[order], ipos[order]
-            edge = np.append(np.flatnonzero(np.append(True, ks[1:] != ks[:-1])), len(ks))
-            for e in np.flatnonzero(np.diff(edge) >= NEED):
-                a, b = edge[e], edge[e + 1]
-                place, first = np.unique(ps[a:b], return_index=True)
-                if len(place) < NEED:
-                    continue
+        for r0, r1, a, b in self._chunks(at, k, begins):
+            table = np.zeros((r1 - r0, len(self.items)), np.int8)
+            for r in range(r0, r1):
+                table[r - r0, others[r]] = 1
+                table[r - r0, named[r]] = 2
+            table = table.ravel()
+            entry, pair, p = self._entries(at[a:b], k[a:b], begins[r0:r1])
+            hit = np.flatnonzero(table[pair])
+            hit = hit[np.bincount(pair[hit], minlength=len(table))[pair[hit]] >= NEED]
+            p, pair, ipos, diagonal = p[hit], pair[hit], self.pos[entry[hit]], p[hit] - self.within[entry[hit]]
+            p = p + begins[r0:r1][pair // len(self.items)]
+            for order, ks, pairs in _in_bands(pair, diagonal):
+                ps, ip = p[order], ipos[order]
+                first = np.append(True, (ks[1:] != ks[:-1]) | (ps[1:] != ps[:-1]))[: len(ks)]
+                ks, ps, ip, pairs = ks[first], ps[first], ip[first], pairs[first]
                 # the NEED-th next shared q-gram has to end within WINDOW symbols
-                ok = np.flatnonzero(place[NEED - 1 :] - place[: len(place) - NEED + 1] <= WINDOW - Q)
+                n = max(0, len(ks) - NEED + 1)
+                ok = np.flatnonzero((ks[NEED - 1 :] == ks[:n]) & (ps[NEED - 1 :] - ps[:n] <= WINDOW - Q))
                 if not len(ok):
                     continue
-                which, at_item = int(ks[a] >> 42), ip[a:b][first]
-                cut = np.flatnonzero(np.diff(ok) > 1) + 1
-                for s, t in zip(ok[np.append(0, cut)], ok[np.append(cut - 1, len(ok) - 1)] + NEED - 1):
-                    pair = int(np.searchsorted(begin, place[s], "right") - 1), which
-                    if pair not in out and self._verify(sym, begin, which, int(place[s]), int(place[t]) + Q, at_item[s : t + 1], place[s : t + 1]):
-                        out.add(pair)
+                cut = np.flatnonzero((np.diff(ok) > 1) | (ks[ok[1:]] != ks[ok[:-1]])) + 1
+                s, t = ok[np.append(0, cut)], ok[np.append(cut - 1, len(ok) - 1)] + NEED - 1
+                which = pairs[s] % len(self.items)
+                may = self._may_agree(which, table[pairs[s]] == 2, ps[s], ps[t], s, t, ip, figures)
+                for x, y, w in zip(s[may].tolist(), t[may].tolist(), which[may].tolist()):
+                    found = int(np.searchsorted(begin, ps[x], "right") - 1), w
+                    if found not in out and self._verify(sym, begin, w, int(ps[x]), int(ps[y]) + Q, ip[x : y + 1], ps[x : y + 1]):
+                        out.add(found)
         return out
 
+    def _may_agree(self, which: np.ndarray, named: np.ndarray, left: np.ndarray, right: np.ndarray, s: np.ndarray, t: np.ndarray, ip: np.ndarray, figures: np.ndarray) -> np.ndarray:
+        """Which runs ``s..t`` of the parts ``which`` _verify can confirm, as far as names, figures, words and the number of shared q-grams tell."""
+        edge = np.column_stack([s, t + 1]).ravel()
+        low = np.minimum.reduceat(np.append(ip, 0), edge)[::2]
+        high = np.maximum.reduceat(np.append(ip, 0), edge)[::2] + Q
+        i, j = self.back[low], np.minimum(self.on[high], self.begin[which + 1] - PAD)
+        words, all_words = self.begun[j] - self.begun[i], self.begun[self.begin[which + 1] - PAD] - self.begun[self.begin[which]]
+        a, n = np.searchsorted(self.figure_at, i), np.searchsorted(self.figure_at, j)
+        n -= a
+        own, at = np.repeat(np.arange(len(s)), n), np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
+        figure, beside = self.figure_of[at] << 32, BAND + REACH + WINDOW
+        there = np.searchsorted(figures, figure + np.maximum(0, left - beside)[own]) < np.searchsorted(figures, figure + (right + Q + beside)[own], "right")
+        agree = np.bincount(own[there], minlength=len(s)) * 3 >= 2 * n
+        enough = (words >= RUN_WORDS) | np.where(n > 0, self._whole_sentence(self.begun[i], self.begun[j]), words == all_words)
+        # an edit takes Q q-grams at most, while the band holds all diagonals of so few edits
+        least = EXACT * (j - i)
+        near = (high - low - Q + 1 - (t - s + 1) <= Q * least) | (least > BAND // 2)
+        return named | (enough & np.where(n > 0, agree, near))
+
     def _same(self, sym: np.ndarray, begin: np.ndarray, at: np.ndarray, k: np.ndarray, left: int, right: int, known: set[tuple[int, int]]) -> set[tuple[int, int]]:
         """``(text, part)`` confirmed in one region among all parts that run along it on one diagonal, whether or not their q-grams are rare.
 
@@ -344,7 +521,7 @@ class Index:
         while j < high and self.sym[j] != GAP:
             j += 1
         a, b = max(start, a - BAND), min(end, b + BAND)
-        theirs = self.text(sym, max(start, a - REACH), min(end, b + REACH))
+        theirs = self.text(sym, *self.whole_words(sym, max(start, a - REACH), min(end, b + REACH)))
         around = self.text(sym, max(start, a - SENTENCE), min(end, b + SENTENCE))
         bag = Counter(theirs.split())
         first = len(self.text(self.sym, low, i).split())
@@ -369,6 +546,8 @@ class Index:
             if counted * 3 < 2 * len(figures):
                 return False
             rate = STRICT
+            if figures and last - first < RUN_WORDS and not self._whole_sentence(int(self.begun[i]), int(self.begun[j])):
+                return False
             if not figures:
                 # nothing in the run tells it apart: the figures of its sentences, if they have any, have to stand beside it
                 if any(words[at].isdigit() and not bag[words[at]] for at in np.flatnonzero(inside[sentence])):
@@ -392,12 +571,12 @@ def _words_by_sentence(text: str) -> list[int]:
 
 
 def _taken(theirs: str, words: list[str], sentence: np.ndarray, at: int) -> bool:
-    """Whether another word stands in the place of the name ``words[at]``, between the words beside it."""
+    """Whether another word stands in the place of the name ``words[at]``, between the words beside it (of the next one four letters are enough)."""
     left = [r"\w*\d\w*" if w.isdigit() else w for k, w in enumerate(words[max(0, at - 2) : at], max(0, at - 2)) if sentence[k] == sentence[at]]
     right = [w for k, w in enumerate(words[at + 1 : at + 2], at + 1) if sentence[k] == sentence[at]]
     if not left or not right:
         return False
-    return bool(re.search(rf"\b{' '.join(left)} \w+ {right[0]}\b", theirs))
+    return bool(re.search(rf"\b{' '.join(left)} \w+ {right[0][:4]}" + r"\b" * (len(right[0]) <= 4), theirs))
 
 
 def _near(w: str, x: str) -> bool:
