@@ -59,7 +59,7 @@ HITS, TABLE = 250_000, 1_000_000
 GAP, STOP = 0, 37
 #: Stops between texts: more than a region and its surroundings span, so that no text affects what is found in its neighbours.
 PAD = WINDOW + REACH + Q + 6
-_BITS = 22
+_BITS = (19, 22)
 _LETTERS = b" abcdefghijklmnopqrstuvwxyz0123456789".ljust(256)
 _FIGURE = re.compile(r"(?<!\S)\d+(?!\S)")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
@@ -87,6 +87,7 @@ def fold_table() -> np.ndarray:
                 table[c] = ord(plain) - 21
             else:
                 table[c] = 1 + c % 26  # other scripts: any fixed letter
+    table[0xE000] = STOP  # stands between texts, see repair
     return table
 
 
@@ -107,17 +108,23 @@ def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of all texts, one after another with PAD stops between, and where each text begins (with the end)."""
     table = fold_table()
     joined = ("" * PAD).join(["", *map(repair, texts), ""])
-    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    stops = codes == 0xE000
-    sym = table[np.minimum(codes, 0xFFFF)]
-    sym[codes > 0xFFFF] = GAP
-    sym[stops] = STOP
-    keep = sym != 38
-    sym, stops = sym[keep], stops[keep]
-    again = np.zeros(len(sym), bool)
-    again[1:] = (sym[1:] == GAP) & (sym[:-1] == GAP)
-    sym, stops = sym[~again], stops[~again]
-    at = np.flatnonzero(stops).reshape(-1, PAD)  # every text lies between two runs of stops
+    try:
+        codes = np.frombuffer(joined.encode("utf-16-le"), np.uint16)
+        far = codes & 0xF800 == 0xD800  # halves of characters beyond 16 bits: the first is a gap, the second left out
+        sym = table[codes]
+        if far.any():
+            sym[far] = np.where(codes[far] < 0xDC00, GAP, 38)
+    except UnicodeEncodeError:
+        codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+        sym = table[np.minimum(codes, 0xFFFF)]
+        sym[codes > 0xFFFF] = GAP
+    if (marks := sym == 38).any():
+        sym = sym[~marks]
+    gap = sym == GAP
+    keep = np.ones(len(sym), bool)
+    keep[1:] = ~(gap[1:] & gap[:-1])
+    sym = sym[keep]
+    at = np.flatnonzero(sym == STOP).reshape(-1, PAD)  # every text lies between two runs of stops
     return sym, np.append(at[:-1, -1] + 1, at[-1, 0] + PAD if len(at) else 0)
 
 
@@ -129,8 +136,8 @@ def grams(sym: np.ndarray) -> np.ndarray:
     return two[:n] * np.uint32(38**4) + two[2 : n + 2] * np.uint32(38**2) + two[4 : n + 4]
 
 
-def _slot(g: np.ndarray) -> np.ndarray:
-    return (g * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
+def _slot(g: np.ndarray, bits: int) -> np.ndarray:
+    return (g * np.uint32(2654435761)) >> np.uint32(32 - bits)
 
 
 def _starts(at: np.ndarray, count: int, span: int) -> np.ndarray:
@@ -204,8 +211,9 @@ class Index:
         self.pos, self.part = pos[order].astype(np.int64), part[pos][order].astype(np.int32)
         self.within = self.pos - self.begin[self.part]
         self.gram, self.first, self.count = np.unique(g[pos][order], return_index=True, return_counts=True)
-        self.bits = np.zeros(1 << _BITS, bool)
-        self.bits[_slot(self.gram)] = True
+        self.size = min(_BITS[1], max(_BITS[0], len(self.gram).bit_length() + 4))
+        self.bits = np.zeros(1 << self.size, bool)
+        self.bits[_slot(self.gram, self.size)] = True
         self.words = [self.text(self.sym, self.begin[k], self.begin[k + 1] - PAD).split() for k in range(len(parts))]
         self.names = names
         self.sentence = [np.repeat(np.arange(len(n)), n) for n in (_words_by_sentence(t) for _, t in parts)]
@@ -292,7 +300,7 @@ class Index:
         g = grams(sym)
         if len(g) < WINDOW:
             return []
-        at = np.flatnonzero(self.bits[_slot(g)])
+        at = self._in_dense_parts(g)
         k = np.searchsorted(self.gram, g[at])
         k[k == len(self.gram)] = 0
         sure = self.gram[k] == g[at]
@@ -317,6 +325,21 @@ class Index:
             out |= self._same(sym, begin, least_at[first[r] : last[r]], least_k[first[r] : last[r]], int(at[low[r]]), int(at[high[r]]) + Q, out)
         return sorted({(d, i) for d, which in out for i in self.items[which]})
 
+    def _in_dense_parts(self, g: np.ndarray) -> np.ndarray:
+        """Where q-grams that may be known begin, wherever enough of them for a dense window lie in eights side by side."""
+        maybe = np.zeros(-(-len(g) // 8) * 8, bool)
+        np.take(self.bits, _slot(g, self.size), out=maybe[: len(g)], mode="clip")
+        eights = maybe.view(np.uint64)
+        total = np.append(0, np.cumsum(((eights * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)))
+        width = (WINDOW - Q + 1 + 7 + 7) // 8  # so many a window touches at most
+        n = len(eights)
+        dense = np.flatnonzero(total[np.minimum(np.arange(n) + width, n)] - total[:-1] >= NEED)
+        edge = np.zeros(n + width + 1, np.int32)
+        edge[dense] += 1
+        edge[dense + width] -= 1
+        eights[np.cumsum(edge[:n]) == 0] = 0
+        return np.flatnonzero(maybe)
+
     def _least(self, at: np.ndarray, k: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The least frequent of the q-grams ``k`` in each run of ``size`` places, from the beginning of each region, so that texts scanned together don't matter."""
         region = np.searchsorted(begins, at, "right") - 1
